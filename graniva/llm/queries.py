@@ -6,10 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graniva.llm.cooccur import cooccurring_items
 from graniva.llm.frequent import frequent_ids
+from graniva.llm.setjoin import similar_sets
 from graniva.plans.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = cooccurring_items(table(spark, d, "yelp_train")).filter("lift >= 5.0")
+    return pairs.selectExpr("item_1 AS business_id_1", "item_2 AS business_id_2")
+
+
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return cooccurring_items(table(spark, d, "yelp_train"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = similar_sets(table(spark, d, "yelp_train"), "business_id", "user_id", 0.5, 5)
+    return found.pairs().selectExpr("set_id_1 AS business_id_1", "set_id_2 AS business_id_2")
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per business: its class of equal user sets, and the links of the class to other classes."""
+    from pyspark.sql import functions as F
+
+    found = similar_sets(table(spark, d, "yelp_train"), "business_id", "user_id", 0.5, 5)
+    ends = found.links.select(F.explode(F.array("class_1", "class_2")).alias("class_id"))
+    n = ends.groupBy("class_id").agg(F.count("*").alias("n_links"))
+    out = found.members.join(n, "class_id", "left")
+    return out.select(F.col("set_id").alias("business_id"), F.col("class_id"), F.col("size").alias("n_users"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return frequent_ids(table(spark, d, "tip")).select("field_name", "value")
 

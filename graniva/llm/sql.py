@@ -9,7 +9,30 @@ WITH v AS (
   HAVING count(*) >= 0.01 * (SELECT count(*) FROM tip))
 """
 
+_RATED = """
+WITH r AS (
+  SELECT DISTINCT trim(user_id, ' ') AS u, trim(business_id, ' ') AS b FROM yelp_train
+  WHERE trim(user_id, ' ') <> '' AND trim(business_id, ' ') <> ''
+), n AS (SELECT b, count(*) AS n FROM r GROUP BY b),
+"""
+
 SQL = {
+    "p2_found": _RATED
+    + """
+p AS (
+  SELECT x.b AS b1, y.b AS b2, count(*) AS n12
+  FROM r x JOIN r y ON x.u = y.u AND x.b < y.b
+  WHERE x.b IN (SELECT b FROM n WHERE n >= 30) AND y.b IN (SELECT b FROM n WHERE n >= 30)
+  GROUP BY 1, 2 HAVING count(*) >= 30)
+SELECT b1 AS business_id_1, b2 AS business_id_2 FROM p JOIN n n1 ON n1.b = b1 JOIN n n2 ON n2.b = b2
+WHERE (SELECT count(DISTINCT u) FROM r)::DOUBLE * n12 / (n1.n::DOUBLE * n2.n) >= 5.0""",
+    "p3_found": _RATED
+    + """
+p AS (
+  SELECT x.b AS b1, y.b AS b2, count(*) AS k
+  FROM r x JOIN r y ON x.u = y.u AND x.b < y.b GROUP BY 1, 2)
+SELECT b1 AS business_id_1, b2 AS business_id_2 FROM p JOIN n n1 ON n1.b = b1 JOIN n n2 ON n2.b = b2
+WHERE n1.n >= 5 AND n2.n >= 5 AND 2 * k >= n1.n + n2.n - k""",
     "p6_found": _TIP + "SELECT field_name, value FROM c",
     "p6_frequent": _TIP + "SELECT field_name, value, n FROM c",
 }
