@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graniva.llm.cooccur import cooccurring_items
+from graniva.llm.encode import decode_corpus, encode_corpus
 from graniva.llm.frequent import frequent_ids
+from graniva.llm.repetition import flag_repetition, repetition_shares
 from graniva.llm.setjoin import similar_sets
 from graniva.plans.tables import table
 
@@ -45,6 +47,26 @@ def p6_frequent(spark: SparkSession, d: str) -> DataFrame:
     return frequent_ids(table(spark, d, "tip")).select("field_name", "value", "n")
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents"))
+
+
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts again from their ids: must equal ``documents.text``, null texts as empty ones."""
+    return decode_corpus(encode_corpus(table(spark, d, "documents")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    shares = repetition_shares(table(spark, d, "documents"), ["doc_id", "lang", "source"])
+    return flag_repetition(shares, ["lang", "source"], floor=0.30, ceiling=0.30).filter("flagged").select("doc_id")
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of all documents, and whether they reach the adaptive threshold of their language and source."""
+    shares = repetition_shares(table(spark, d, "documents"), ["doc_id", "lang", "source"])
+    return flag_repetition(shares, ["lang", "source"], floor=0.05, ceiling=0.50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 

@@ -33,6 +33,7 @@ p AS (
   FROM r x JOIN r y ON x.u = y.u AND x.b < y.b GROUP BY 1, 2)
 SELECT b1 AS business_id_1, b2 AS business_id_2 FROM p JOIN n n1 ON n1.b = b1 JOIN n n2 ON n2.b = b2
 WHERE n1.n >= 5 AND n2.n >= 5 AND 2 * k >= n1.n + n2.n - k""",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p6_found": _TIP + "SELECT field_name, value FROM c",
     "p6_frequent": _TIP + "SELECT field_name, value, n FROM c",
 }
