@@ -125,7 +125,8 @@ def pieces(spark: SparkSession, tokenizer: str = TOKENIZER) -> DataFrame:
 
 def decode_corpus(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:
     """Texts of lists of ids: (doc_id, text), by a join of the ids with their pieces. Empty and null lists give an empty text."""
-    base = encoded.select(F.monotonically_increasing_id().alias("key"), F.col(doc_id).alias("doc_id"), F.posexplode_outer(ids).alias("pos", "id"))
+    base = encoded.select(F.monotonically_increasing_id().alias("key"), F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids"))
+    base = base.select("key", "doc_id", F.posexplode_outer("ids").alias("pos", "id"))
     joined = base.join(F.broadcast(pieces(encoded.sparkSession, tokenizer)), "id", "left")
     grouped = joined.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "hex")))).alias("p"))
     text = F.decode(F.unhex(F.array_join(F.transform("p", lambda x: x["hex"]), "")), "UTF-8")
