@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graniva.llm.clusters import found_groups, similarity_clusters, typical_members
 from graniva.llm.cooccur import cooccurring_items
 from graniva.llm.encode import decode_corpus, encode_corpus
 from graniva.llm.frequent import frequent_ids
@@ -14,6 +15,20 @@ from graniva.llm.setjoin import similar_sets
 from graniva.plans.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return found_groups(table(spark, d, "cluster_points")).select("cluster_id", "point_id")
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical points of each group of p1_found."""
+    return typical_members(found_groups(table(spark, d, "cluster_points")), 16)
+
+
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical points of Ward clusters over all usable points."""
+    return similarity_clusters(table(spark, d, "cluster_points"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = cooccurring_items(table(spark, d, "yelp_train")).filter("lift >= 5.0")
     return pairs.selectExpr("item_1 AS business_id_1", "item_2 AS business_id_2")
