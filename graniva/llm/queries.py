@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graniva.llm.canonical import map_cities
 from graniva.llm.clusters import found_groups, similarity_clusters, typical_members
 from graniva.llm.cooccur import cooccurring_items
 from graniva.llm.encode import decode_corpus, encode_corpus
@@ -45,8 +47,6 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     """One row per business: its class of equal user sets, and the links of the class to other classes."""
-    from pyspark.sql import functions as F
-
     found = similar_sets(table(spark, d, "yelp_train"), "business_id", "user_id", 0.5, 5)
     ends = found.links.select(F.explode(F.array("class_1", "class_2")).alias("class_id"))
     n = ends.groupBy("class_id").agg(F.count("*").alias("n_links"))
@@ -62,6 +62,16 @@ def p6_frequent(spark: SparkSession, d: str) -> DataFrame:
     return frequent_ids(table(spark, d, "tip")).select("field_name", "value", "n")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return map_cities(table(spark, d, "business"), table(spark, d, "city_ref")).select("business_id", "city_id").distinct()
+
+
+def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Typed cities that are in no entry, with the number of their businesses."""
+    found = map_cities(table(spark, d, "business"), table(spark, d, "city_ref"))
+    return found.filter("city_id = 0").groupBy("city").agg(F.countDistinct("business_id").alias("n_businesses"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
