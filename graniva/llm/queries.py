@@ -12,6 +12,7 @@ from graniva.llm.clusters import found_groups, similarity_clusters, typical_memb
 from graniva.llm.cooccur import cooccurring_items
 from graniva.llm.encode import decode_corpus, encode_corpus
 from graniva.llm.frequent import frequent_ids
+from graniva.llm.mixing import mix_sources
 from graniva.llm.repetition import flag_repetition, repetition_shares
 from graniva.llm.setjoin import similar_sets
 from graniva.plans.tables import table
@@ -81,6 +82,14 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return decode_corpus(encode_corpus(table(spark, d, "documents")))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     shares = repetition_shares(table(spark, d, "documents"), ["doc_id", "lang", "source"])
     return flag_repetition(shares, ["lang", "source"], floor=0.30, ceiling=0.30).filter("flagged").select("doc_id")
