@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graniva.operators import geo, nested
+from graniva.functions.keys import trimmed
+from graniva.operators import bfr as bfr_ops
+from graniva.operators import geo, graph, itemsets, minhash, nested, recommend, relational, sketches
 from graniva.plans.core_sql import SQL
+from graniva.plans.stage import materialize
 from graniva.plans.tables import table
 
 _DICTS = ("BusinessParking", "GoodForMeal")
@@ -51,6 +54,294 @@ def p5_variants(spark: SparkSession, d: str) -> DataFrame:
     return nested.variants(_attributes(spark, d))
 
 
+# -- exploration -----------------------------------------------------------------------------------
+
+
+def word_count(spark: SparkSession, d: str) -> DataFrame:
+    return relational.word_count(table(spark, d, "documents"), "text")
+
+
+def review_count(spark: SparkSession, d: str) -> DataFrame:
+    return relational.row_count(table(spark, d, "yelp_train"))
+
+
+def review_count_year(spark: SparkSession, d: str) -> DataFrame:
+    return relational.row_count(table(spark, d, "tip"), relational.in_year(F.col("posted_at"), 2020))
+
+
+def distinct_users(spark: SparkSession, d: str) -> DataFrame:
+    return relational.distinct_count(table(spark, d, "yelp_train"), trimmed("user_id"))
+
+
+def distinct_items(spark: SparkSession, d: str) -> DataFrame:
+    return relational.distinct_count(table(spark, d, "yelp_train"), trimmed("business_id"))
+
+
+def top10_users(spark: SparkSession, d: str) -> DataFrame:
+    return relational.top_k(table(spark, d, "yelp_train"), trimmed("user_id"), 10, "user_id")
+
+
+def top10_items(spark: SparkSession, d: str) -> DataFrame:
+    return relational.top_k(table(spark, d, "yelp_train"), trimmed("business_id"), 10, "business_id")
+
+
+def _city_averages(spark: SparkSession, d: str) -> DataFrame:
+    ratings = recommend.clean_ratings(table(spark, d, "yelp_train")).select("business_id", "stars")
+    cities = table(spark, d, "business").select("business_id", "city").dropna().distinct()
+    return relational.average_by(ratings, cities, "business_id", "city", "stars")
+
+
+def city_averages(spark: SparkSession, d: str) -> DataFrame:
+    return _city_averages(spark, d)
+
+
+def city_avg_top10(spark: SparkSession, d: str) -> DataFrame:
+    return relational.top_average(_city_averages(spark, d), "city", "avg_stars")
+
+
+def segment_avg_top10(spark: SparkSession, d: str) -> DataFrame:
+    orders, customers = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), table(spark, d, "customer")
+    return relational.top_average(relational.average_by(orders, customers, "c_custkey", "c_mktsegment", "o_totalprice", 4), "c_mktsegment", "avg_o_totalprice")
+
+
+def partition_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return relational.partition_sizes(table(spark, d, "yelp_train").select("user_id"), 4, relational.first_code(F.col("user_id")))
+
+
+def user_ids(spark: SparkSession, d: str) -> DataFrame:
+    return relational.dense_ids(table(spark, d, "yelp_train").select(trimmed("user_id").alias("user_id")), "user_id", "idx")
+
+
+# -- itemsets --------------------------------------------------------------------------------------
+
+
+def clean_concat_keys(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    return orders.select("o_orderkey", itemsets.clean_key(F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_custkey")).alias("basket"))
+
+
+def _baskets(spark: SparkSession, d: str, more_than: int = 0) -> DataFrame:
+    return itemsets.baskets(table(spark, d, "yelp_train"), trimmed("user_id"), trimmed("business_id"), more_than)
+
+
+def baskets_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return _baskets(spark, d, 5).groupBy("basket").agg(F.count("*").alias("n_items"))
+
+
+def _flat(sets: DataFrame) -> DataFrame:
+    return sets.withColumn("items", F.array_join("items", ","))
+
+
+def frequent_itemsets(spark: SparkSession, d: str) -> DataFrame:
+    """Itemsets of up to three businesses in at least 20 baskets."""
+    return _flat(itemsets.frequent_itemsets(_baskets(spark, d), 20, 3))
+
+
+def frequent_itemsets_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The second orientation, users in the baskets of businesses, over baskets of more than 20 users."""
+    rows = itemsets.baskets(table(spark, d, "yelp_train"), trimmed("business_id"), trimmed("user_id"), 20)
+    return _flat(itemsets.frequent_itemsets(rows, 8, 2))
+
+
+def _chunk() -> F.Column:
+    return F.pmod(F.ascii("basket"), F.lit(4))
+
+
+def son_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(itemsets.son_candidates(_baskets(spark, d), 20, _chunk(), 2))
+
+
+def son_frequent(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(itemsets.son_frequent(_baskets(spark, d), 20, _chunk(), 3))
+
+
+# -- similarity ------------------------------------------------------------------------------------
+
+
+def _sets(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "yelp_train")
+    return t.select(trimmed("business_id").alias("item"), trimmed("user_id").alias("user")).dropna().distinct()
+
+
+def minhash_signature(spark: SparkSession, d: str) -> DataFrame:
+    return minhash.signatures(_sets(spark, d))
+
+
+def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
+    buckets = materialize(minhash.band_buckets(minhash.signatures(_sets(spark, d))), "buckets")
+    return minhash.candidates(buckets)
+
+
+def _round(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def lsh_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _round(minhash.lsh_pairs(_sets(spark, d)), "similarity")
+
+
+def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _round(minhash.jaccard_pairs(_sets(spark, d)), "similarity")
+
+
+def lsh_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and recall of the banding against the exact pairs."""
+    return minhash.precision_recall(minhash.lsh_pairs(_sets(spark, d)), minhash.jaccard_pairs(_sets(spark, d)), ["item_1", "item_2"])
+
+
+# -- recommenders ----------------------------------------------------------------------------------
+
+
+def _ratings(spark: SparkSession, d: str) -> DataFrame:
+    return recommend.clean_ratings(table(spark, d, "yelp_train"))
+
+
+def item_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return _round(recommend.item_similarity(recommend.rating_matrix(_ratings(spark, d))), "similarity")
+
+
+def item_similarity_reference(spark: SparkSession, d: str) -> DataFrame:
+    return _round(recommend.item_similarity(recommend.rating_matrix(_ratings(spark, d)), reference_mode=True), "similarity")
+
+
+def item_cf_prediction(spark: SparkSession, d: str) -> DataFrame:
+    """Every rated pair predicted from the user's other ratings."""
+    r = _ratings(spark, d)
+    return _round(recommend.item_predictions(r, r), "prediction")
+
+
+def cf_reference_mode(spark: SparkSession, d: str) -> DataFrame:
+    r = _ratings(spark, d)
+    return _round(recommend.item_predictions(r, r, reference_mode=True), "prediction")
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    r = _ratings(spark, d)
+    return recommend.features(r.select("user_id", "business_id").distinct(), r, table(spark, d, "yelp_user"), table(spark, d, "business"), table(spark, d, "tip"))
+
+
+def feature_vector(spark: SparkSession, d: str) -> DataFrame:
+    return _features(spark, d)
+
+
+def rmse_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of the fallback predictions on all ratings."""
+    r = _ratings(spark, d)
+    m = recommend.rating_matrix(r)
+    guess = recommend.fallback(m.select("user_id", "business_id"), r).withColumnRenamed("fallback", "prediction")
+    return _round(recommend.evaluate(guess, m), "rmse", "mean", "std")
+
+
+def gbt_prediction(spark: SparkSession, d: str) -> DataFrame:
+    """The model-based prediction of every rated pair; fewer trees than the operator's default of 90, over all rows."""
+    x = materialize(_features(spark, d), "features")
+    train = x.join(recommend.rating_matrix(_ratings(spark, d)), ["user_id", "business_id"])
+    return recommend.gbt_predictions(train, x, trees=10, depth=5).select("user_id", "business_id", "prediction")
+
+
+def hybrid_prediction(spark: SparkSession, d: str) -> DataFrame:
+    r = _ratings(spark, d)
+    return recommend.blend(recommend.item_predictions(r, r), gbt_prediction(spark, d), 0.05)
+
+
+# -- graphs ----------------------------------------------------------------------------------------
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    rows = _sets(spark, d).select(F.col("user").alias("vertex"), F.col("item").alias("group"))
+    return materialize(graph.cooccurrence_edges(rows, "vertex", "group", 6), "edges")
+
+
+def cooccurrence_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _edges(spark, d)
+
+
+def components(spark: SparkSession, d: str) -> DataFrame:
+    return graph.components(_edges(spark, d))
+
+
+def label_propagation(spark: SparkSession, d: str) -> DataFrame:
+    return graph.label_propagation(_edges(spark, d))
+
+
+def modularity(spark: SparkSession, d: str) -> DataFrame:
+    e = _edges(spark, d)
+    return _round(graph.modularity(e, graph.label_propagation(e), "label"), "modularity")
+
+
+def edge_betweenness(spark: SparkSession, d: str) -> DataFrame:
+    return _round(graph.edge_betweenness(_edges(spark, d)), "betweenness")
+
+
+def girvan_newman(spark: SparkSession, d: str) -> DataFrame:
+    return graph.girvan_newman(_edges(spark, d))[0]
+
+
+# -- sketches of streams ---------------------------------------------------------------------------
+
+
+def _events(spark: SparkSession, d: str, size: int) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select(F.col("event_id").alias("seq"), F.floor(F.col("event_id") / size).alias("batch"), F.col("user_id").cast("string").alias("user"))
+
+
+def bloom_fpr(spark: SparkSession, d: str) -> DataFrame:
+    return _round(sketches.bloom_rates(_events(spark, d, 100), "batch", "seq", "user"), "fpr")
+
+
+def bloom_fpr_reference(spark: SparkSession, d: str) -> DataFrame:
+    return _round(sketches.bloom_rates(_events(spark, d, 100), "batch", "seq", "user", reference_mode=True), "fpr")
+
+
+def fm_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return sketches.flajolet_martin(_events(spark, d, 300), "batch", "user")
+
+
+def fm_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    return _round(sketches.accuracy(sketches.flajolet_martin(_events(spark, d, 300), "batch", "user")), "ratio")
+
+
+def reservoir_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select((F.col("event_id") - table(spark, d, "events").agg(F.min("event_id")).first()[0] + 1).alias("n"), F.col("user_id").cast("string").alias("user"))
+    return sketches.reservoir_snapshots(e, "n", "user")
+
+
+# -- clustering ------------------------------------------------------------------------------------
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("point_id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.col("label").cast("string").alias("cluster"))
+
+
+def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = bfr_ops.summaries(_vectors(spark, d), "cluster", 64)
+    flat = rows.select("cluster", "n", F.arrays_zip("sum", "sumsq").alias("z")).select("cluster", "n", F.posexplode("z").alias("dim", "v"))
+    return _round(flat.select("cluster", "n", "dim", F.col("v.sum").alias("sum"), F.col("v.sumsq").alias("sumsq")), "sum", "sumsq")
+
+
+def mahalanobis_assign(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d)
+    clusters = bfr_ops.Summary([tuple(r) for r in bfr_ops.summaries(v, "cluster", 64).orderBy("cluster").collect()])
+    out = bfr_ops.assign_mahalanobis(v.select("point_id", "x"), clusters, 16.0, "string")
+    return _round(out.select("point_id", "label", "distance"), "distance")
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("features")
+    good = x.isNotNull() & (F.size(x) == 16) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v))
+    rows = table(spark, d, "cluster_points").select("point_id", F.when(good, x).alias("x")).dropna()
+    return rows.groupBy("point_id").agg(F.min("x").alias("x"))
+
+
+def bfr(spark: SparkSession, d: str) -> DataFrame:
+    return bfr_ops.bfr(materialize(_points(spark, d), "points"), 10, 16)[0]
+
+
+def bfr_rounds(spark: SparkSession, d: str) -> DataFrame:
+    return bfr_ops.bfr(materialize(_points(spark, d), "points"), 10, 16)[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All functions of this module that take (spark, folder)."""
     own = {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__}

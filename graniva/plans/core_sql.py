@@ -1,5 +1,7 @@
 """DuckDB SQL for the core queries."""
 
+from graniva.functions.hashing import increments, multipliers, stream_coefficients
+
 _LEAVES = """
 WITH b AS (SELECT DISTINCT business_id, attributes AS a FROM business), m AS (
   SELECT business_id, 'Menus[' || (i - 1) || ']' AS p, a.Menus[i] AS x FROM b, unnest(range(1, len(a.Menus) + 1)) AS t(i)
@@ -24,7 +26,186 @@ WITH b AS (SELECT DISTINCT business_id, attributes AS a FROM business), m AS (
 
 _FIELDS = "Alcohol Caters RestaurantsPriceRange2 RestaurantsGoodForGroups RestaurantsTakeOut RestaurantsDelivery RestaurantsReservations GoodForKids BusinessAcceptsCreditCards WiFi Smoking NoiseLevel"
 
+_HASHES = ", ".join(f"({i}, {a}, {b})" for i, a, b in stream_coefficients(54))
+_ROWS = ", ".join(f"({i}, {increments()[i]}, {multipliers()[i + 1]})" for i in range(32))
+_BANDS = ", ".join(f"({j}, {increments()[j]}, {multipliers()[j + 1]})" for j in range(16))
+
+_SETS = """
+WITH r AS (
+  SELECT DISTINCT trim(business_id, ' ') AS item, trim(user_id, ' ') AS u FROM yelp_train
+  WHERE trim(business_id, ' ') <> '' AND trim(user_id, ' ') <> ''
+), n AS (SELECT item, count(*) AS n FROM r GROUP BY item)"""
+_SIGNATURES = (
+    _SETS
+    + f""", ids AS (SELECT u, row_number() OVER (ORDER BY u) - 1 AS x FROM (SELECT DISTINCT u FROM r)
+), sig AS (
+  SELECT item, i, min(((a * x + b) % 92143) % (SELECT count(*) FROM ids)) AS value
+  FROM r JOIN ids USING (u), (VALUES {_ROWS}) AS t(i, a, b) GROUP BY item, i)"""
+)
+_BUCKETS = (
+    _SIGNATURES
+    + f""", buckets AS (
+  SELECT item, band, (((b * s + a) % 92143) % 50287) AS bucket
+  FROM (SELECT item, i // 2 AS band, sum(value) AS s FROM sig GROUP BY 1, 2) JOIN (VALUES {_BANDS}) AS t(band, a, b) USING (band)
+), cand AS (
+  SELECT DISTINCT x.item AS item_1, y.item AS item_2 FROM buckets x JOIN buckets y ON x.band = y.band AND x.bucket = y.bucket AND x.item < y.item)"""
+)
+_COMMON = """, common AS (
+  SELECT x.item AS item_1, y.item AS item_2, count(*) AS k FROM r x JOIN r y ON x.u = y.u AND x.item < y.item GROUP BY 1, 2
+), sim AS (
+  SELECT item_1, item_2, k / (a.n + b.n - k) AS s FROM common JOIN n a ON a.item = item_1 JOIN n b ON b.item = item_2)"""
+
+_BASKETS = """
+WITH b AS (
+  SELECT DISTINCT trim(user_id, ' ') AS basket, trim(business_id, ' ') AS item FROM yelp_train
+  WHERE trim(business_id, ' ') <> '' AND trim(user_id, ' ') <> '')"""
+_FREQUENT = (
+    _BASKETS
+    + """, f AS (SELECT * FROM b WHERE item IN (SELECT item FROM b GROUP BY item HAVING count(*) >= 20))
+SELECT item AS items, count(*) AS n FROM f GROUP BY 1
+UNION ALL SELECT x.item || ',' || y.item, count(*) FROM f x JOIN f y ON x.basket = y.basket AND x.item < y.item GROUP BY 1 HAVING count(*) >= 20
+UNION ALL SELECT x.item || ',' || y.item || ',' || z.item, count(*) FROM f x JOIN f y ON x.basket = y.basket AND x.item < y.item
+  JOIN f z ON z.basket = x.basket AND y.item < z.item GROUP BY 1 HAVING count(*) >= 20"""
+)
+
+_RATINGS = """
+WITH q AS (
+  SELECT DISTINCT trim(user_id, ' ') AS user_id, trim(business_id, ' ') AS business_id, stars FROM yelp_train
+  WHERE trim(user_id, ' ') <> '' AND trim(business_id, ' ') <> '' AND stars BETWEEN 1 AND 5
+), m AS (SELECT user_id, business_id, max(stars) AS stars FROM q GROUP BY 1, 2
+), ia AS (SELECT business_id, avg(stars) AS item_avg FROM q GROUP BY 1
+), ua AS (SELECT user_id, avg(stars) AS user_avg FROM q GROUP BY 1)"""
+_SUMS = """, s AS (
+  SELECT x.business_id AS item_1, y.business_id AS item_2, count(*) AS n, sum(x.stars) AS s1, sum(y.stars) AS s2,
+    sum(x.stars * x.stars) AS s11, sum(y.stars * y.stars) AS s22, sum(x.stars * y.stars) AS s12
+  FROM m x JOIN m y ON x.user_id = y.user_id AND x.business_id < y.business_id GROUP BY 1, 2
+), w AS (
+  SELECT item_1, item_2, n, CASE WHEN (n * s11 - s1 * s1) * (n * s22 - s2 * s2) > 0
+    THEN (n * s12 - s1 * s2) / sqrt((n * s11 - s1 * s1) * (n * s22 - s2 * s2)) ELSE 0 END AS similarity FROM s)"""
+_FALLBACK = "coalesce(item_avg, user_avg, 3.0)"
+
+_EDGES = _SETS + """, e AS (
+  SELECT x.u AS src, y.u AS dst, count(*) AS common FROM r x JOIN r y ON x.item = y.item AND x.u < y.u GROUP BY 1, 2 HAVING count(*) >= 6
+), a AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e
+), l0 AS (SELECT DISTINCT src AS vertex, src AS label FROM a)"""
+_ROUNDS = "".join(
+    f""", l{i} AS (SELECT vertex, label FROM (
+    SELECT src AS vertex, label, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, label) AS rn
+    FROM a JOIN l{i - 1} ON dst = l{i - 1}.vertex GROUP BY src, label) WHERE rn = 1)"""
+    for i in range(1, 6)
+)
+
+_STREAM = """
+WITH e AS (SELECT event_id AS seq, event_id // {size} AS batch, user_id::VARCHAR AS u FROM events WHERE user_id IS NOT NULL
+), x AS (
+  SELECT u, list_reduce(list_concat([0::BIGINT], list_transform(string_split(u, ''), lambda c: ord(c)::BIGINT)), lambda s, c: (s * 256 + c) % 92143) AS x
+  FROM (SELECT DISTINCT u FROM e)
+), h AS (SELECT u, i, ((a * x + b) % 92143) % 69997 AS h FROM x, (VALUES """ + _HASHES + """) AS t(i, a, b) WHERE i < {n})"""
+_BLOOM = _STREAM.format(size=100, n=2) + """, f AS (SELECT h, min(batch) AS set_in FROM e JOIN h USING (u) GROUP BY h
+), p AS (SELECT batch, seq, u, bool_and(set_in < batch) AS present FROM e JOIN h USING (u) JOIN f USING (h) GROUP BY ALL)"""
+_FM = _STREAM.format(size=300, n=54) + """, z AS (
+  SELECT batch, i, max(CASE WHEN h = 0 THEN 1 ELSE bit_count((h & -h) - 1) END) AS r FROM e JOIN h USING (u) GROUP BY ALL
+), g AS (SELECT batch, i % 9 AS g, avg(pow(2.0, r)) AS m FROM z GROUP BY ALL
+), est AS (SELECT batch, round_even(median(m), 0)::BIGINT AS estimate FROM g GROUP BY batch
+), t AS (SELECT batch, count(*) AS n_rows, count(DISTINCT u) AS n_distinct FROM e GROUP BY batch)"""
+_U = "(n * 40014 + 12345) % 2147483563 / 2147483563.0"
+_SLOT = "((n * 40692 + 54321) % 2147483399 // 1000) % 100"
+_FLAGS = "Caters RestaurantsGoodForGroups RestaurantsTakeOut RestaurantsDelivery RestaurantsReservations GoodForKids BusinessAcceptsCreditCards"
+_FLAG_SQL = ", ".join(f"CASE WHEN attributes.{f} IS NOT NULL AND lower(attributes.{f}) NOT IN ('false', 'none', '') THEN 1 ELSE 0 END AS {f}" for f in _FLAGS.split())
+_VECTORS = "WITH v AS (SELECT vec_id AS point_id, label::VARCHAR AS cluster, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS dim FROM embeddings), s AS (SELECT cluster, dim, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM v GROUP BY 1, 2)"
+
 SQL = {
+    "word_count": "SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '[\\n ]')) AS word FROM documents) GROUP BY 1",
+    "review_count": "SELECT count(*) AS n FROM yelp_train",
+    "review_count_year": "SELECT count(*) AS n FROM tip WHERE year(posted_at) = 2020",
+    "distinct_users": "SELECT count(DISTINCT nullif(trim(user_id, ' '), '')) AS n FROM yelp_train",
+    "distinct_items": "SELECT count(DISTINCT nullif(trim(business_id, ' '), '')) AS n FROM yelp_train",
+    "top10_users": "SELECT trim(user_id, ' ') AS user_id, count(*) AS n FROM yelp_train WHERE trim(user_id, ' ') <> '' GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10",
+    "top10_items": "SELECT trim(business_id, ' ') AS business_id, count(*) AS n FROM yelp_train WHERE trim(business_id, ' ') <> '' GROUP BY 1 ORDER BY n DESC, business_id LIMIT 10",
+    "city_averages": _RATINGS + " SELECT city, round(avg(stars), 6) AS avg_stars FROM q JOIN (SELECT DISTINCT business_id, city FROM business WHERE city IS NOT NULL) USING (business_id) GROUP BY city",
+    "city_avg_top10": _RATINGS + " SELECT city, round(avg(stars), 6) AS avg_stars FROM q JOIN (SELECT DISTINCT business_id, city FROM business WHERE city IS NOT NULL) USING (business_id) GROUP BY city ORDER BY avg_stars DESC, city LIMIT 10",
+    "segment_avg_top10": "SELECT c_mktsegment, round(avg(o_totalprice), 4) AS avg_o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "partition_sizes": "SELECT p::INTEGER AS part, count(y.user_id) FILTER (WHERE true) + count(*) FILTER (WHERE y.k IS NOT NULL AND y.user_id IS NULL) AS n FROM range(4) t(p) LEFT JOIN (SELECT user_id, coalesce(CASE WHEN user_id = '' THEN 0 ELSE unicode(user_id) END, 0) % 4 AS k FROM yelp_train) y ON k = p GROUP BY 1",
+    "user_ids": "SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS idx FROM (SELECT DISTINCT trim(user_id, ' ') AS user_id FROM yelp_train WHERE trim(user_id, ' ') <> '')",
+    "clean_concat_keys": "SELECT o_orderkey, ltrim(strftime(o_orderdate, '%Y-%m-%d'), '0') || '-' || ltrim(o_custkey::VARCHAR, '0') AS basket FROM orders",
+    "baskets_filtered": _BASKETS + " SELECT basket, count(*) AS n_items FROM b GROUP BY 1 HAVING count(*) > 5",
+    "frequent_itemsets": _FREQUENT,
+    "son_frequent": _FREQUENT,
+    "frequent_itemsets_filtered": """
+WITH b0 AS (
+  SELECT DISTINCT trim(business_id, ' ') AS basket, trim(user_id, ' ') AS item FROM yelp_train
+  WHERE trim(business_id, ' ') <> '' AND trim(user_id, ' ') <> ''
+), b AS (SELECT * FROM b0 WHERE basket IN (SELECT basket FROM b0 GROUP BY 1 HAVING count(*) > 20)
+), f AS (SELECT * FROM b WHERE item IN (SELECT item FROM b GROUP BY item HAVING count(*) >= 8))
+SELECT item AS items, count(*) AS n FROM f GROUP BY 1
+UNION ALL SELECT x.item || ',' || y.item, count(*) FROM f x JOIN f y ON x.basket = y.basket AND x.item < y.item GROUP BY 1 HAVING count(*) >= 8""",
+    "son_candidates": _BASKETS
+    + """, c AS (SELECT *, unicode(basket) % 4 AS chunk FROM b
+), lim AS (SELECT chunk, count(DISTINCT basket) * 20.0 / (SELECT count(DISTINCT basket) FROM c) AS lim FROM c GROUP BY 1
+), s AS (
+  SELECT chunk, item AS items, count(*) AS n FROM c GROUP BY 1, 2
+  UNION ALL SELECT x.chunk, x.item || ',' || y.item, count(*) FROM c x JOIN c y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2)
+SELECT DISTINCT items FROM s JOIN lim USING (chunk) WHERE n >= lim - 1e-9""",
+    "minhash_signature": _SIGNATURES + " SELECT item, i, value FROM sig",
+    "lsh_candidates": _BUCKETS + " SELECT item_1, item_2 FROM cand",
+    "lsh_pairs": _BUCKETS + _COMMON + " SELECT item_1, item_2, round(s, 6) AS similarity FROM sim JOIN cand USING (item_1, item_2) WHERE s >= 0.5",
+    "jaccard_pairs": _SETS + _COMMON + " SELECT item_1, item_2, round(s, 6) AS similarity FROM sim WHERE s >= 0.5",
+    "item_similarity": _RATINGS + _SUMS + " SELECT item_1, item_2, n, round(similarity, 6) AS similarity FROM w",
+    "item_similarity_reference": _RATINGS
+    + _SUMS
+    + """, z AS (SELECT *, (s1 + s2) / n AS mu FROM s), y AS (SELECT *, (s11 - 2 * mu * s1 + n * mu * mu) * s22 AS v FROM z)
+SELECT item_1, item_2, n, round(CASE WHEN v > 0 THEN (s12 - mu * s2) / sqrt(v) ELSE 0 END, 6) AS similarity FROM y""",
+    "item_cf_prediction": _RATINGS
+    + _SUMS
+    + f""", b AS (SELECT item_1, item_2, similarity FROM w WHERE similarity > 0 UNION ALL SELECT item_2, item_1, similarity FROM w WHERE similarity > 0
+), g AS (
+  SELECT p.user_id, p.business_id, sum(similarity * o.stars) / sum(similarity) AS guess
+  FROM m p JOIN m o ON o.user_id = p.user_id JOIN b ON item_1 = p.business_id AND item_2 = o.business_id GROUP BY 1, 2)
+SELECT user_id, business_id, round(coalesce(guess, {_FALLBACK}), 6) AS prediction
+FROM m LEFT JOIN g USING (user_id, business_id) LEFT JOIN ia USING (business_id) LEFT JOIN ua USING (user_id)""",
+    "cf_reference_mode": _RATINGS + f" SELECT user_id, business_id, round({_FALLBACK}, 6) AS prediction FROM m LEFT JOIN ia USING (business_id) LEFT JOIN ua USING (user_id)",
+    "rmse_histogram": _RATINGS
+    + f""", p AS (SELECT {_FALLBACK} AS g, stars, abs({_FALLBACK} - stars) AS e FROM m LEFT JOIN ia USING (business_id) LEFT JOIN ua USING (user_id))
+SELECT count(*) AS n, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(g), 6) AS mean, round(stddev_pop(g), 6) AS std, count(*) FILTER (e < 1) AS error_0,
+  count(*) FILTER (e >= 1 AND e < 2) AS error_1, count(*) FILTER (e >= 2 AND e < 3) AS error_2, count(*) FILTER (e >= 3 AND e < 4) AS error_3, count(*) FILTER (e >= 4) AS error_4 FROM p""",
+    "feature_vector": _RATINGS
+    + f""", ui AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS user_idx FROM (SELECT DISTINCT user_id FROM q)
+), ii AS (SELECT business_id, row_number() OVER (ORDER BY business_id) - 1 AS item_idx FROM (SELECT DISTINCT business_id FROM q)
+), us AS (SELECT DISTINCT user_id, average_stars, review_count AS user_reviews, useful, funny, cool, fans FROM yelp_user
+), bs AS (SELECT DISTINCT business_id, stars AS item_stars, review_count AS item_reviews, CASE WHEN attributes.Alcohol IS NOT NULL THEN 1 ELSE 0 END AS Alcohol, {_FLAG_SQL},
+    coalesce(TRY_CAST(attributes.RestaurantsPriceRange2 AS INTEGER), 0) AS price, CASE WHEN attributes.WiFi = 'Free' THEN 1 ELSE 0 END AS wifi, CASE WHEN attributes.Smoking = 'yes' THEN 1 ELSE 0 END AS smoking,
+    CASE attributes.NoiseLevel WHEN 'average' THEN 1 WHEN 'loud' THEN 2 ELSE 0 END AS noise,
+    coalesce((length(attributes.BusinessParking) - length(replace(attributes.BusinessParking, 'True', ''))) // 4, 0)::INTEGER AS parking,
+    coalesce((length(attributes.GoodForMeal) - length(replace(attributes.GoodForMeal, 'True', ''))) // 4, 0)::INTEGER AS meals, latitude, longitude FROM business
+), ut AS (SELECT trim(user_id, ' ') AS user_id, count(*) AS user_tips FROM tip GROUP BY 1
+), it AS (SELECT trim(business_id, ' ') AS business_id, count(*) AS item_tips FROM tip GROUP BY 1)
+SELECT user_id, business_id, user_idx, item_idx, coalesce(average_stars, 0) AS average_stars, coalesce(user_reviews, 0) AS user_reviews, coalesce(useful, 0) AS useful, coalesce(funny, 0) AS funny, coalesce(cool, 0) AS cool,
+  coalesce(fans, 0) AS fans, coalesce(item_stars, 0) AS item_stars, coalesce(item_reviews, 0) AS item_reviews, {", ".join(f"coalesce({f}, 0) AS {f}" for f in ["Alcohol", *_FLAGS.split(), "price", "wifi", "smoking", "noise", "parking", "meals"])},
+  coalesce(CASE WHEN isnan(latitude) THEN 0 ELSE latitude END, -1) AS latitude, coalesce(CASE WHEN isnan(longitude) THEN 0 ELSE longitude END, -1) AS longitude, coalesce(user_tips, 0) AS user_tips, coalesce(item_tips, 0) AS item_tips,
+  {", ".join(f"0::BIGINT AS photos_{p}" for p in ("food", "drink", "inside", "outside", "menu"))}
+FROM m JOIN ui USING (user_id) JOIN ii USING (business_id) LEFT JOIN us USING (user_id) LEFT JOIN bs USING (business_id) LEFT JOIN ut USING (user_id) LEFT JOIN it USING (business_id)""",
+    "cooccurrence_edges": _EDGES + " SELECT src, dst, common FROM e",
+    "components": _EDGES.replace("WITH r", "WITH RECURSIVE r", 1) + ", c AS (SELECT vertex, vertex AS c FROM l0 UNION SELECT a.dst, c.c FROM c JOIN a ON a.src = c.vertex) SELECT vertex, min(c) AS component FROM c GROUP BY 1",
+    "label_propagation": _EDGES + _ROUNDS + " SELECT vertex, label FROM l5",
+    "modularity": _EDGES
+    + _ROUNDS
+    + """, p AS (SELECT x.label AS c, count(*) AS d, count(*) FILTER (x.label = y.label) AS e2 FROM a JOIN l5 x ON x.vertex = src JOIN l5 y ON y.vertex = dst GROUP BY 1)
+SELECT round((sum(e2) - sum(d::DOUBLE * d) / sum(d)) / sum(d), 6) AS modularity FROM p""",
+    "bloom_fpr": _BLOOM
+    + """, born AS (SELECT u, min(batch) AS born FROM e GROUP BY u)
+SELECT batch, round(count(*) FILTER (present AND born >= batch) / nullif(count(*) FILTER (born >= batch), 0), 6) AS fpr FROM p JOIN born USING (u) GROUP BY batch""",
+    "bloom_fpr_reference": _BLOOM + " SELECT batch, round(count(*) FILTER (present) / (count(*) FILTER (present) + count(*)), 6) AS fpr FROM p GROUP BY batch",
+    "fm_estimate": _FM + " SELECT batch, n_rows, n_distinct, estimate FROM t LEFT JOIN est USING (batch)",
+    "fm_accuracy": _FM + " SELECT round(sum(estimate) / sum(n_distinct), 6) AS ratio FROM t LEFT JOIN est USING (batch)",
+    "reservoir_snapshots": f"""
+WITH e AS (SELECT event_id - (SELECT min(event_id) FROM events) + 1 AS n, user_id::VARCHAR AS element FROM events
+), k AS (SELECT n, element, CASE WHEN n <= 100 THEN n - 1 ELSE {_SLOT} END AS slot FROM e WHERE n <= 100 OR {_U} < 100 / n
+), ends AS (SELECT n AS seqnum, unnest([0, 20, 40, 60, 80]) AS slot FROM e WHERE n % 100 = 0)
+SELECT seqnum, ends.slot, arg_max(element, n) AS element FROM ends LEFT JOIN k ON k.slot = ends.slot AND n <= seqnum GROUP BY 1, 2""",
+    "cluster_summary": _VECTORS + " SELECT cluster, n, dim, round(s, 6) AS sum, round(q, 6) AS sumsq FROM s",
+    "mahalanobis_assign": _VECTORS
+    + """, d AS (SELECT point_id, s.cluster, sqrt(sum(pow(x - s / n, 2) / (q / n - pow(s / n, 2)))) AS dist FROM v JOIN s USING (dim) GROUP BY 1, 2)
+SELECT point_id, CASE WHEN min(dist) < 16 THEN arg_min(cluster, dist) END AS label, round(min(dist), 6) AS distance FROM d GROUP BY 1""",
     "p5_leaves": _LEAVES + "".join(f"  UNION ALL SELECT business_id, '{f}', a.{f} FROM b\n" for f in _FIELDS.split()) + ") SELECT DISTINCT business_id, path, leaf FROM leaf WHERE leaf IS NOT NULL",
     "p4_found": """
 WITH b AS (
