@@ -70,6 +70,8 @@ def _kmeans(points: DataFrame, k: int, seed: int) -> DataFrame:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    if k < 2:
+        return points.withColumn("__c", F.lit(0))
     v = points.withColumn("__v", array_to_vector("x"))
     model = KMeans(featuresCol="__v", predictionCol="__c", k=k, seed=seed).fit(v)
     return model.transform(v).drop("__v")
@@ -102,7 +104,7 @@ def bfr(points: DataFrame, k: int, dim: int, chunks: int = 5, threshold: float |
         """Cluster retained points: those of clusters with several points, labelled, and the others."""
         nonlocal made
         m = rest.count()
-        if m <= 1:
+        if m <= 2:
             return none.selectExpr("*", "'' AS label").limit(0), rest
         split = materialize(_kmeans(rest, min(retained * k, m - 1), seed), "retained")
         many = split.groupBy("__c").count().filter("count > 1").select("__c")

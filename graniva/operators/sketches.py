@@ -53,8 +53,10 @@ def accuracy(estimates: DataFrame) -> DataFrame:
 
 def draws(n: Column, size: int) -> tuple[Column, Column]:
     """Replayable draws of the n-th element: a uniform number in [0, 1) and a slot, from linear hashes of n."""
-    u = F.pmod(n * 40014 + 12345, F.lit(2147483563)) / 2147483563.0
-    return u, F.pmod(F.floor(F.pmod(n * 40692 + 54321, F.lit(2147483399)) / 1000), F.lit(size)).cast("int")
+    u, s = n, n
+    for _ in range(3):
+        u, s = F.pmod(u * 40014 + 12345, F.lit(2147483563)), F.pmod(s * 40692 + 54321, F.lit(2147483399))
+    return u / 2147483563.0, F.pmod(F.floor(s / 1000), F.lit(size)).cast("int")
 
 
 def reservoir_snapshots(stream: DataFrame, n: str, text: str, size: int = 100, every: int = 100, slots: tuple[int, ...] = (0, 20, 40, 60, 80)) -> DataFrame:

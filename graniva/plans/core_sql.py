@@ -108,8 +108,17 @@ _FM = _STREAM.format(size=300, n=54) + """, z AS (
 ), g AS (SELECT batch, i % 9 AS g, avg(pow(2.0, r)) AS m FROM z GROUP BY ALL
 ), est AS (SELECT batch, round_even(median(m), 0)::BIGINT AS estimate FROM g GROUP BY batch
 ), t AS (SELECT batch, count(*) AS n_rows, count(DISTINCT u) AS n_distinct FROM e GROUP BY batch)"""
-_U = "(n * 40014 + 12345) % 2147483563 / 2147483563.0"
-_SLOT = "((n * 40692 + 54321) % 2147483399 // 1000) % 100"
+
+
+def _thrice(a: int, c: int, m: int) -> str:
+    x = "n"
+    for _ in range(3):
+        x = f"(({x} * {a} + {c}) % {m})"
+    return x
+
+
+_U = _thrice(40014, 12345, 2147483563) + " / 2147483563.0"
+_SLOT = _thrice(40692, 54321, 2147483399) + " // 1000 % 100"
 _FLAGS = "Caters RestaurantsGoodForGroups RestaurantsTakeOut RestaurantsDelivery RestaurantsReservations GoodForKids BusinessAcceptsCreditCards"
 _FLAG_SQL = ", ".join(f"CASE WHEN attributes.{f} IS NOT NULL AND lower(attributes.{f}) NOT IN ('false', 'none', '') THEN 1 ELSE 0 END AS {f}" for f in _FLAGS.split())
 _VECTORS = "WITH v AS (SELECT vec_id AS point_id, label::VARCHAR AS cluster, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS dim FROM embeddings), s AS (SELECT cluster, dim, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM v GROUP BY 1, 2)"
