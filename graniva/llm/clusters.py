@@ -177,7 +177,7 @@ def cf_leaves(points: DataFrame, dim: int, threshold: float, max_leaves: int = M
     """Counts and centroids of the leaves of all partitions' trees, merged in a tree of groups: at most ``max_leaves``."""
 
     def rows(tree: CFTree, bucket: int) -> pd.DataFrame:
-        return pd.DataFrame({"bucket": np.full(len(tree.n), bucket, np.int32), "n": tree.n, "ls": list(tree.ls), "ss": tree.ss})
+        return pd.DataFrame({"bucket": np.full(len(tree.n), bucket, np.int32), "n": tree.n, "ls": pd.Series(list(tree.ls), dtype=object), "ss": tree.ss})
 
     def build(batches):
         from pyspark import TaskContext
