@@ -127,7 +127,8 @@ def _near_places(places: DataFrame, metres: float, radius: float) -> DataFrame:
     kinds = F.when(F.col("full"), F.array(*[F.lit(True)] * 4)).otherwise(F.array(*quarters))
     cover = discs.select(F.col("place").alias("p"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "band", "cell", kinds.alias("interior"))
 
-    met = cover.join(inside, ["band", "cell"]).filter("p < place")
+    # the planner's estimates don't know how many cells a disc has, so it must not pick a broadcast
+    met = cover.hint("merge").join(inside.hint("merge"), ["band", "cell"]).filter("p < place")
     accepted = F.element_at("interior", F.col("quarter") + 1)
     exact = great_circle(F.col("lat1"), F.col("lon1"), lat, lon, radius) <= metres
     pairs = met.filter(F.when(accepted, F.lit(True)).otherwise(exact)).select("p", F.col("place").alias("q")).distinct()
@@ -205,7 +206,7 @@ def points_in_regions(points: DataFrame, key: str, lat: str, lon: str, regions:
     at = own.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
     w = F.lit(side) / F.pow(F.lit(2.0), F.col("level"))
     at = at.withColumn("row", F.floor((F.col("lat") + 90) / w)).withColumn("col", F.floor((F.col("lon") + 180) / w))
-    met = at.join(cover, ["level", "row", "col"])
+    met = at.hint("merge").join(cover.hint("merge"), ["level", "row", "col"])
     sure = met.filter("interior").select("key", "region")
     edges = F.flatten(F.transform("rings", lambda r: F.zip_with(r, F.concat(F.slice(r, 2, F.greatest(F.size(r), F.lit(1))), F.slice(r, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
     border = met.filter("not interior").join(named.withColumn("edges", edges).drop("rings"), "region")

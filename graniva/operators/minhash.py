@@ -27,13 +27,16 @@ def signatures(rows: DataFrame, n_rows: int = 32) -> DataFrame:
     return hashed.groupBy("item", "i").agg(F.min("h").alias("value"))
 
 
-def band_buckets(signature: DataFrame, rows_per_band: int = 2) -> DataFrame:
-    """(item, band, bucket) by the order-insensitive hash of the rows of a band."""
+def band_buckets(signature: DataFrame, rows_per_band: int = 2, buckets: int = M) -> DataFrame:
+    """(item, band, bucket) by the order-insensitive hash of the rows of a band.
+
+    More ``buckets`` than the default, up to P, keep them small for many items; they only add or remove false candidates.
+    """
     spark = signature.sparkSession
     a, b = increments(), multipliers()
     summed = signature.withColumn("band", F.floor(F.col("i") / rows_per_band).cast("int")).groupBy("item", "band").agg(F.sum("value").alias("s"))
     table = F.broadcast(spark.createDataFrame([(j, a[j], b[j + 1]) for j in range(len(b) - 1)], "band int, a long, b long"))
-    return summed.join(table, "band").select("item", "band", linear(F.col("s"), F.col("b"), F.col("a"), P, M).alias("bucket"))
+    return summed.join(table, "band").select("item", "band", linear(F.col("s"), F.col("b"), F.col("a"), P, buckets).alias("bucket"))
 
 
 def candidates(buckets: DataFrame) -> DataFrame:
