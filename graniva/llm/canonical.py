@@ -6,7 +6,6 @@ import re
 import unicodedata
 from collections import Counter
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graniva.functions.keys import trimmed, wide_key
-from graniva.plans.stage import fits, join_checked, materialize
+from graniva.plans.stage import join_checked, materialize
 
 _MASK_BITS = 60
 
@@ -106,7 +106,8 @@ def _small_pairs(elements: DataFrame, t: float, c: int, least: int, most: int, t
     a = subsets.select("subset", F.col("id").alias("id1"), F.col("n").alias("n1"), *[F.col(s).alias("p1") for s in side])
     b = subsets.select("subset", F.col("id").alias("id2"), F.col("n").alias("n2"), *[F.col(s).alias("p2") for s in side])
     fits_size = (F.least("n1", "n2") >= F.greatest("n1", "n2") * t - 1e-9) & (F.col("p1") != F.col("p2") if two else F.lit(True))
-    met = a.join(b, "subset").filter(F.col("id1") < F.col("id2")).filter(fits_size).select("id1", "id2").distinct()
+    # the planner's estimates don't know how many subsets a set has, so it must not pick a broadcast
+    met = a.hint("merge").join(b.hint("merge"), "subset").filter(F.col("id1") < F.col("id2")).filter(fits_size).select("id1", "id2").distinct()
     e1, e2 = (elements.select(F.col("id").alias(f"id{i}"), F.col("n").alias(f"n{i}"), F.col("e").alias(f"e{i}")) for i in (1, 2))
     n = elements.count()
     both = join_checked(join_checked(met, e1, "id1", rows=n), e2, "id2", rows=n)
