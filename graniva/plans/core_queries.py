@@ -133,14 +133,14 @@ def _flat(sets: DataFrame) -> DataFrame:
 
 
 def frequent_itemsets(spark: SparkSession, d: str) -> DataFrame:
-    """Itemsets of up to three businesses in at least 20 baskets."""
-    return _flat(itemsets.frequent_itemsets(_baskets(spark, d), 20, 3))
+    """Itemsets of any size of businesses in at least 20 baskets."""
+    return _flat(itemsets.frequent_itemsets(_baskets(spark, d), 20))
 
 
 def frequent_itemsets_filtered(spark: SparkSession, d: str) -> DataFrame:
     """The second orientation, users in the baskets of businesses, over baskets of more than 20 users."""
     rows = itemsets.baskets(table(spark, d, "yelp_train"), trimmed("business_id"), trimmed("user_id"), 20)
-    return _flat(itemsets.frequent_itemsets(rows, 8, 2))
+    return _flat(itemsets.frequent_itemsets(rows, 8))
 
 
 def _chunk() -> F.Column:
@@ -148,11 +148,11 @@ def _chunk() -> F.Column:
 
 
 def son_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(itemsets.son_candidates(_baskets(spark, d), 20, _chunk(), 2))
+    return _flat(itemsets.son_candidates(_baskets(spark, d), 20, _chunk()))
 
 
 def son_frequent(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(itemsets.son_frequent(_baskets(spark, d), 20, _chunk(), 3))
+    return _flat(itemsets.son_frequent(_baskets(spark, d), 20, _chunk()))
 
 
 # -- similarity ------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -12,6 +13,7 @@ from graniva.functions import hashing
 from graniva.operators import bfr, geo, graph, itemsets, minhash, nested, recommend, relational, sketches
 from graniva.operators.components import connected_components
 from graniva.operators.paircount import shared_groups
+from graniva.plans import core_queries
 from graniva.plans.stage import running_total
 from graniva.sources import readers, sinks
 
@@ -129,6 +131,32 @@ def test_itemsets(spark, baskets):
     assert itemsets.frequent_itemsets(sets.limit(0), 1).count() == 0 and itemsets.son_frequent(sets.limit(0), 1, F.lit(0)).count() == 0
 
 
+def test_registered_itemsets_of_any_size(spark, tmp_path):
+    rated = [(f"u{u}", f"b{b}") for u in range(25) for b in range(5)]  # five businesses in 25 baskets of users
+    for c in range(9):  # four users in nine baskets of businesses
+        rated += [(f"v{v}", f"c{c}") for v in range(4)] + [(f"w{c}_{w}", f"c{c}") for w in range(20)]
+    spark.createDataFrame(rated, "user_id string, business_id string").write.parquet(str(tmp_path / "yelp_train.parquet"))
+
+    def brute(pairs, support):
+        n = Counter(i for _, i in pairs)
+        return {",".join(k): v for k, v in brute_itemsets([x for x in pairs if n[x[1]] >= support], support).items()}
+
+    got = lambda name: core_queries.queries()[name](spark, str(tmp_path))
+    want = brute(rated, 20)
+    assert want["b0,b1,b2,b3,b4"] == 25
+    for name in ("frequent_itemsets", "son_frequent"):
+        assert {r["items"]: r.n for r in got(name).collect()} == want
+    users = brute([(b, u) for u, b in rated], 8)
+    assert users["v0,v1,v2,v3"] == 9
+    assert {r["items"]: r.n for r in got("frequent_itemsets_filtered").collect()} == users
+    chunks = {}
+    for u, b in rated:
+        chunks.setdefault(ord(u[0]) % 4, []).append((u, b))
+    total = len({u for u, _ in rated})
+    candidates = [set(brute(rows, len({u for u, _ in rows}) * 20 / total - 1e-9)) for rows in chunks.values()]
+    assert {r["items"] for r in got("son_candidates").collect()} == set().union(*candidates)
+
+
 def test_lsh_finds_a_subset_of_the_exact_pairs(spark):
     rng = random.Random(4)
     pairs = [(f"b{g}_{m}", f"u{u}") for g in range(40) for base in [rng.sample(range(300), 14)] for m in range(2) for u in base if rng.random() > 0.1 * m]
