@@ -38,7 +38,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return cooccurring_items(table(spark, d, "yelp_train"))
+    """All pairs that occur together, from one basket up; the false-discovery step ranks all of them."""
+    return cooccurring_items(table(spark, d, "yelp_train"), min_count=1)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

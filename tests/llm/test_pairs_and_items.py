@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from graniva.llm.cooccur import cooccurring_items, fit_null, poisson_binomial_tail
 from graniva.llm.frequent import HeavyLight, frequent_ids, frequent_items
+from graniva.llm.queries import queries
 from graniva.llm.setjoin import similar_sets
 
 RATED = "user_id string, business_id string, stars double, id long, name string, k1 string"
@@ -70,6 +71,19 @@ def test_planted_pair_is_significant(spark, ratings):
     assert sum(r.significant for r in rows.values()) < len(rows)
 
 
+def test_p2_pairs_has_and_ranks_every_pair(spark, ratings, tmp_path):
+    rated(spark, ratings).select("user_id", "business_id").write.parquet(str(tmp_path / "yelp_train.parquet"))
+    sets = by_item(ratings)
+    want = {(a, b): len(sets[a] & sets[b]) for a, b in combinations(sorted(sets), 2) if sets[a] & sets[b]}
+    found = queries()["p2_pairs"](spark, str(tmp_path)).collect()
+    assert {(r.item_1, r.item_2): r.n12 for r in found} == want and min(want.values()) == 1 and want["x1", "x2"] == 7
+    tests, log_p = len(sets) * (len(sets) - 1) / 2, np.array([r.log10_p for r in found])
+    for r in found:  # Benjamini-Hochberg over all pairs
+        assert r.log10_q == pytest.approx(min(0.0, r.log10_p + math.log10(tests / (log_p <= r.log10_p).sum())), abs=1e-9)
+    cut = max((r.log10_p for r in found if r.log10_q <= -2), default=-math.inf)
+    assert {r.significant == (r.log10_p <= cut) for r in found} == {True} and any(r.significant and r.n12 < 30 for r in found)
+
+
 def test_null_fits_degrees():
     items, baskets = [(3, 10), (7, 4), (20, 2)], [(2, 30), (4, 7), (5, 2)]
     d, x, c, y = fit_null(items, baskets)
