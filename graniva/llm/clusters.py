@@ -132,24 +132,31 @@ class CFTree:
         self.insert(n, ls, ss)
 
 
-def ward(n: np.ndarray, centre: np.ndarray, clusters: int) -> np.ndarray:
-    """Labels 0.. of leaves after Ward agglomeration to at most ``clusters``; ties go to the first pair."""
-    label = np.arange(len(n))
+def ward(n: np.ndarray, centre: np.ndarray, clusters: int, reach: float = math.inf) -> np.ndarray:
+    """Labels 0.. of leaves after Ward agglomeration to at most ``clusters``; ties go to the first pair.
+
+    Clusters whose centroids are more than ``reach`` apart aren't joined, so that more than ``clusters`` may stay.
+    """
+    label, alive = np.arange(len(n)), np.ones(len(n), bool)
     n, c = n.astype(float).copy(), centre.copy()
-    cost = _squares(c, c) * (n[:, None] * n / (n[:, None] + n))
+    cost = _squares(c, c)
+    cost = np.where(cost <= reach * reach, cost * (n[:, None] * n / (n[:, None] + n)), np.inf)
     np.fill_diagonal(cost, np.inf)
     near = cost.argmin(1) if len(n) > 1 else np.zeros(len(n), int)
     best = cost[np.arange(len(n)), near] if len(n) else np.zeros(0)
     for _ in range(max(0, len(n) - clusters)):
         i = int(best.argmin())
+        if not np.isfinite(best[i]):
+            break
         j = int(near[i])
         c[i] = (n[i] * c[i] + n[j] * c[j]) / (n[i] + n[j])
         n[i] += n[j]
         label[label == j] = i
-        cost[j], cost[:, j], best[j] = np.inf, np.inf, np.inf
-        live = np.isfinite(best) & (np.arange(len(n)) != i)
+        cost[j], cost[:, j], best[j], alive[j] = np.inf, np.inf, np.inf, False
+        live = alive & (np.arange(len(n)) != i)
         row = np.full(len(n), np.inf)
-        row[live] = ((c[live] - c[i]) ** 2).sum(1) * (n[live] * n[i] / (n[live] + n[i]))
+        d = ((c[live] - c[i]) ** 2).sum(1)
+        row[live] = np.where(d <= reach * reach, d * (n[live] * n[i] / (n[live] + n[i])), np.inf)
         cost[i], cost[:, i] = row, row
         for k in np.nonzero(live & ((near == i) | (near == j)))[0]:
             near[k] = cost[k].argmin()
@@ -239,14 +246,22 @@ def typical_members(labelled: DataFrame, dim: int, members: int = 5, salts: int
     return out.select("cluster_id", "size", F.transform("m", lambda v: v["point_id"]).alias("typical"))
 
 
-def similarity_clusters(df: DataFrame, clusters: int = 100, dim: int = 16, threshold: float = 6.0, members: int = 5, max_leaves: int = MAX_LEAVES) -> DataFrame:
-    """(cluster_id, size, typical): all usable points in at most ``clusters`` clusters of mutually similar points.
+def similarity_clusters(df: DataFrame, clusters: int | None = None, dim: int = 16, threshold: float = 6.0, members: int = 5, max_leaves: int = MAX_LEAVES, limit: float = 12.0) -> DataFrame:
+    """(cluster_id, size, typical): all usable points in clusters of mutually similar points.
 
-    Cluster-feature trees of the partitions are merged to at most ``max_leaves`` leaves, Ward agglomeration joins
-    the leaves, and a full pass assigns every point to the cluster of its nearest leaf. ``cluster_id`` is the smallest
+    Points of one cluster are of one group of :func:`linked_groups` at ``limit``. Ward agglomeration joins the
+    cluster-feature leaves of a group while centroids are at most ``limit`` apart, so the number of clusters follows the
+    data; a full pass assigns every point to the cluster of its group's nearest leaf. A group has at most ``max_leaves``
+    leaves, coarser than ``threshold`` where it needs more.
+
+    With ``clusters``, trees of the partitions are merged to at most ``max_leaves`` leaves of all points instead, and
+    joined to at most so many clusters, however far apart. ``cluster_id`` is the smallest
     point of the cluster. Points with null, NaN or infinite values, null ids or another number of values are
     left out; rows delivered twice count once; ties go to the first leaf. An empty table gives no rows.
     """
+    if clusters is None:
+        labelled = _grouped_clusters(linked_groups(df, limit, dim, max_leaves), dim, threshold, max_leaves, limit)
+        return typical_members(labelled, dim, members)
     points = usable_points(df, dim)
     n, pivots = cf_leaves(points, dim, threshold, max_leaves)
     if not len(n):
@@ -259,6 +274,51 @@ def similarity_clusters(df: DataFrame, clusters: int = 100, dim: int = 16, thres
     return out.join(F.broadcast(first), "cluster_id").select(F.col("first").alias("cluster_id"), "size", "typical")
 
 
+def _grouped_clusters(groups: DataFrame, dim: int, threshold: float, max_leaves: int, limit: float, chunk: int = CHUNK) -> DataFrame:
+    """(cluster_id, point_id, x): Ward clusters within each group, named after their smallest point; chunks of a group build trees of their own."""
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("point_id")
+        tree, x = CFTree(dim, threshold, max_leaves), _stack(pdf["x"])
+        tree.insert(np.ones(len(x)), x, (x * x).sum(1))
+        return pd.DataFrame({"grp": np.full(len(tree.n), pdf["grp"].iloc[0]), "salt": np.full(len(tree.n), pdf["salt"].iloc[0], np.int32), "n": tree.n, "ls": pd.Series(list(tree.ls), dtype=object), "ss": tree.ss})
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree, chunks = CFTree(dim, threshold, max_leaves), int(pdf["salt"].max()) + 1
+        pdf = pdf.sort_values(["n", "salt"], ascending=[False, True], kind="stable")
+        tree.insert(pdf["n"].to_numpy(), _stack(pdf["ls"]), pdf["ss"].to_numpy())
+        c = tree.ls / tree.n[:, None]
+        label = ward(tree.n, c, 1, limit)
+        return pd.DataFrame({"grp": np.full(len(c), pdf["grp"].iloc[0]), "label": label.astype(np.int32), "c": pd.Series(list(c), dtype=object), "chunks": np.full(len(c), chunks, np.int32)})
+
+    def nearest(points: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
+        x, c, label = _stack(points["x"]), _stack(leaves["c"]), leaves["label"].to_numpy()
+        leaf = np.concatenate([_squares(x[i : i + 2000], c).argmin(1) for i in range(0, len(x), 2000)])
+        return points[["grp", "point_id", "x"]].assign(label=label[leaf])
+
+    groups = materialize(groups.withColumnRenamed("cluster_id", "grp"), "groups")
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("size"))
+    salt = F.pmod(F.xxhash64("point_id"), F.ceil(F.col("size") / chunk)).cast("int").alias("salt")
+    salted = groups.join(sizes.filter("size > 1"), "grp").select("grp", salt, "point_id", "x")
+    alone = groups.join(sizes.filter("size = 1"), "grp", "left_semi").select(F.col("grp").alias("cluster_id"), "point_id", "x")
+    leaves = salted.groupBy("grp", "salt").applyInPandas(build, "grp long, salt int, n double, ls array<double>, ss double")
+    leaves = materialize(leaves.groupBy("grp").applyInPandas(join, "grp long, label int, c array<double>, chunks int"), "leaves")
+    copies = leaves.select("grp", "label", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("salt"))
+    labelled = salted.groupBy("grp", "salt").cogroup(copies.groupBy("grp", "salt")).applyInPandas(_nonempty(nearest), "grp long, point_id long, x array<double>, label int")
+    labelled = materialize(labelled, "labelled")
+    first = labelled.groupBy("grp", "label").agg(F.min("point_id").alias("cluster_id"))
+    return materialize(labelled.join(first, ["grp", "label"]).select("cluster_id", "point_id", "x").union(alone), "clusters")
+
+
+def _nonempty(f):
+    """``f`` of cogrouped chunks where a chunk may hold no points."""
+
+    def run(points: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
+        return f(points, leaves) if len(points) else points[["grp", "point_id", "x"]].assign(label=np.zeros(0, np.int32))
+
+    return run
+
+
 def _within(a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
     """Which pairs are at most ``limit`` apart; pairs near the limit are measured again without cancellation."""
     d = _squares(a, b)

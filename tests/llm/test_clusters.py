@@ -67,6 +67,20 @@ def test_similarity_clusters_find_blobs(spark):
         assert r.typical == (np.argsort(d, kind="stable")[:3] + c * 200).tolist()
 
 
+def test_registered_clusters_follow_the_data(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 0.5, (4, 16)) + np.eye(16)[c % 16] * 100 * (1 + c // 16) for c in range(130)])
+    x = np.concatenate([x, np.arange(12)[:, None] * 10.0 * np.eye(16)[:1] - 5000])  # a chain
+    table(spark, range(len(x)), x).repartition(5).write.parquet(str(tmp_path / "cluster_points.parquet"))
+    rows = queries()["p1_clusters"](spark, str(tmp_path)).collect()
+    blobs = sorted((r.cluster_id, r["size"]) for r in rows if r.cluster_id < 520)
+    assert blobs == [(4 * c, 4) for c in range(130)]
+    assert sum(r["size"] for r in rows) == len(x) and 1 < sum(r.cluster_id >= 520 for r in rows) <= 12
+    large = np.concatenate([rng.normal(c * 50, 1, (200, 3)) for c in range(4)])
+    df = table(spark, range(800), large)
+    assert sorted((r.cluster_id, r["size"]) for r in similarity_clusters(df, dim=3, limit=9.0).collect()) == [(200 * c, 200) for c in range(4)]
+
+
 def test_trees_merge_without_losing_mass(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(0, 30, (3000, 3))
