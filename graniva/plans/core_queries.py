@@ -233,10 +233,10 @@ def rmse_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gbt_prediction(spark: SparkSession, d: str) -> DataFrame:
-    """The model-based prediction of every rated pair; fewer trees than the operator's default of 90, over all rows."""
+    """The model-based prediction of every rated pair."""
     x = materialize(_features(spark, d), "features")
     train = x.join(recommend.rating_matrix(_ratings(spark, d)), ["user_id", "business_id"])
-    return recommend.gbt_predictions(train, x, trees=10, depth=5).select("user_id", "business_id", "prediction")
+    return recommend.gbt_predictions(train, x).select("user_id", "business_id", "prediction")
 
 
 def hybrid_prediction(spark: SparkSession, d: str) -> DataFrame:

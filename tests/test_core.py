@@ -291,6 +291,19 @@ def test_boosted_trees_beat_the_mean(spark):
     assert recommend.evaluate(mixed, df).first().rmse < 0.5
 
 
+def test_registered_model_is_the_whole_one(spark, monkeypatch):
+    asked = []
+
+    def model(*args, trees=90, depth=7, rate=0.1, **kw):
+        asked.append((trees, depth, rate))
+        return args[1].withColumn("prediction", F.lit(3.0))
+
+    monkeypatch.setattr(recommend, "gbt_predictions", model)
+    for name in ("gbt_prediction", "hybrid_prediction"):
+        core_queries.queries()[name](spark, "/root/testdata/sf0.001")
+    assert asked == [(90, 7, 0.1)] * 2
+
+
 # -- clustering ------------------------------------------------------------------------------------
 
 
