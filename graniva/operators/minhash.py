@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graniva.functions.hashing import P, increments, linear, multipliers
 from graniva.operators.relational import dense_ids
-from graniva.plans.stage import join_checked, materialize
+from graniva.plans.stage import join_checked, materialize, pair_up
 
 #: Buckets of a band.
 M = 50287
@@ -22,9 +22,10 @@ def signatures(rows: DataFrame, n_rows: int = 32) -> DataFrame:
     n = max(1, ids.count())
     a, b = increments(), multipliers()
     numbered = join_checked(rows, ids, "user")
-    table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a[i]).cast("long").alias("a"), F.lit(b[i + 1]).cast("long").alias("b")) for i in range(n_rows)])
-    hashed = numbered.select("item", "x", F.explode(table).alias("t")).select("item", "t.i", linear(F.col("x"), F.col("t.a"), F.col("t.b"), P, n).alias("h"))
-    return hashed.groupBy("item", "i").agg(F.min("h").alias("value"))
+    # one row per item and task leaves the partial aggregation, with all minima side by side
+    least = [F.min(linear(F.col("x"), F.lit(a[i]).cast("long"), F.lit(b[i + 1]).cast("long"), P, n)) for i in range(n_rows)]
+    wide = numbered.groupBy("item").agg(F.array(*least).alias("minima"))
+    return wide.select("item", F.posexplode("minima").alias("i", "value"))
 
 
 def band_buckets(signature: DataFrame, rows_per_band: int = 2, buckets: int = M) -> DataFrame:
@@ -41,18 +42,22 @@ def band_buckets(signature: DataFrame, rows_per_band: int = 2, buckets: int = M)
 
 def candidates(buckets: DataFrame) -> DataFrame:
     """Distinct pairs item_1 < item_2 that share a bucket of a band."""
-    a, b = (buckets.select("band", "bucket", F.col("item").alias(f"item_{i}")) for i in (1, 2))
-    return a.join(b, ["band", "bucket"]).filter("item_1 < item_2").select("item_1", "item_2").distinct()
+    met = pair_up(buckets.select("band", "bucket", F.col("item").alias("item_")), ["band", "bucket"], "item_")
+    return met.select("item_1", "item_2").distinct()
 
 
 def verify(pairs: DataFrame, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(item_1, item_2, similarity): the pairs whose exact Jaccard similarity reaches ``threshold``."""
-    sizes = rows.groupBy("item").agg(F.count("*").alias("n"))
-    one = pairs.join(rows.select(F.col("item").alias("item_1"), "user"), "item_1")
-    both = one.join(rows.select(F.col("item").alias("item_2"), "user"), ["item_2", "user"])
-    common = both.groupBy("item_1", "item_2").agg(F.count("*").alias("k"))
+    sizes = materialize(rows.groupBy("item").agg(F.count("*").alias("n")), "sizes")
     for i in (1, 2):
-        common = common.join(sizes.select(F.col("item").alias(f"item_{i}"), F.col("n").alias(f"n{i}")), f"item_{i}")
+        pairs = join_checked(pairs, sizes.select(F.col("item").alias(f"item_{i}"), F.col("n").alias(f"n{i}")), f"item_{i}")
+    # sizes too different can't be similar; of the others the users of the smaller set are looked up in the larger one
+    pairs = materialize(pairs.filter(F.least("n1", "n2") >= F.greatest("n1", "n2") * threshold - 1e-9), "alike")
+    swap = F.col("n1") > F.col("n2")
+    ends = pairs.select("*", F.when(swap, F.col("item_2")).otherwise(F.col("item_1")).alias("few"), F.when(swap, F.col("item_1")).otherwise(F.col("item_2")).alias("many"))
+    one = ends.join(rows.select(F.col("item").alias("few"), "user").hint("merge"), "few")
+    both = one.join(rows.select(F.col("item").alias("many"), "user").hint("merge"), ["many", "user"])
+    common = both.groupBy("item_1", "item_2", "n1", "n2").agg(F.count("*").alias("k"))
     out = common.select("item_1", "item_2", (F.col("k") / (F.col("n1") + F.col("n2") - F.col("k"))).alias("similarity"))
     return out.filter(F.col("similarity") >= threshold)
 
@@ -69,9 +74,9 @@ def jaccard_pairs(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     rows = materialize(rows, "sets")
     sizes = rows.groupBy("item").agg(F.count("*").alias("n"))
     sized = materialize(rows.join(sizes, "item"), "sized")
-    a, b = (sized.select("user", F.col("item").alias(f"item_{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
-    alike = (F.least("n1", "n2") >= F.greatest("n1", "n2") * threshold - 1e-9) & (F.col("item_1") < F.col("item_2"))
-    common = a.join(b, "user").filter(alike).groupBy("item_1", "item_2", "n1", "n2").agg(F.count("*").alias("k"))
+    alike = F.least("n1", "n2") >= F.greatest("n1", "n2") * threshold - 1e-9
+    met = pair_up(sized.withColumnRenamed("item", "item_"), ["user"], "item_", ["n"])
+    common = met.filter(alike).groupBy("item_1", "item_2", "n1", "n2").agg(F.count("*").alias("k"))
     out = common.select("item_1", "item_2", (F.col("k") / (F.col("n1") + F.col("n2") - F.col("k"))).alias("similarity"))
     return out.filter(F.col("similarity") >= threshold)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graniva.functions.keys import trimmed
 from graniva.operators.relational import dense_ids
-from graniva.plans.stage import materialize
+from graniva.plans.stage import join_checked, materialize, pair_up
 
 #: Prediction where neither item nor user is known.
 DEFAULT_STARS = 3.0
@@ -30,9 +30,8 @@ def item_similarity(matrix: DataFrame, reference_mode: bool = False) -> DataFram
     ``reference_mode`` takes mean(r1)+mean(r2) for the first mean and 0 for the second, which is negative for stars of 1 to 5.
     """
     rows = materialize(matrix, "matrix")
-    a = rows.select("user_id", F.col("business_id").alias("item_1"), F.col("stars").alias("r1"))
-    b = rows.select("user_id", F.col("business_id").alias("item_2"), F.col("stars").alias("r2"))
-    sums = a.join(b, "user_id").filter("item_1 < item_2").groupBy("item_1", "item_2").agg(
+    met = pair_up(rows.select("user_id", F.col("business_id").alias("item_"), F.col("stars").alias("r")), ["user_id"], "item_", ["r"])
+    sums = met.groupBy("item_1", "item_2").agg(
         F.count("*").alias("n"), F.sum("r1").alias("s1"), F.sum("r2").alias("s2"),
         F.sum(F.col("r1") * F.col("r1")).alias("s11"), F.sum(F.col("r2") * F.col("r2")).alias("s22"), F.sum(F.col("r1") * F.col("r2")).alias("s12"),
     )

@@ -7,7 +7,6 @@ Everything that cuts lineage is a Parquet table in the shared folder named by
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -17,8 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: A side is broadcast only when its rows times the width of a row stay below this many bytes.
+#: A side is broadcast only when its measured size stays below this many bytes.
 BROADCAST_BYTES = 48 << 20
+#: Members of a group that one task pairs with as many others; larger groups are cut into blocks.
+PAIR_BLOCK = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,10 +37,29 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """Folder of this application's staged tables; the JVM deletes it when it ends."""
+    base = f"{shared_dir(spark)}/graniva-{spark.sparkContext.applicationId}"
+    if getattr(spark.sparkContext, "_graniva_staged", None) != base:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(base)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        spark.sparkContext._graniva_staged = base
+    return base
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables staged so far, once the results that read them are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "stage", *, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back; nothing before it is computed again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graniva-{os.getpid()}/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 
@@ -48,25 +68,64 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in schema.fields])
 
 
-def _width(kind: T.DataType) -> int:
+def _bytes(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.StringType, T.BinaryType)):
-        return 64
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 16
     if isinstance(kind, T.StructType):
-        return 16 + sum(_width(f.dataType) for f in kind.fields)
-    if isinstance(kind, (T.ArrayType, T.MapType)):
-        return 512
-    return 8
+        return sum((_bytes(c[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType, T.MapType)):
+            return F.coalesce(F.aggregate(c, F.lit(24).cast("long"), lambda s, x: s + _bytes(x, kind.elementType)), F.lit(24).cast("long"))
+        return F.coalesce(F.size(c), F.lit(0)).cast("long") * 8 + 24
+    if isinstance(kind, T.MapType):
+        return F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)).cast("long") + 32
+    return F.lit(8).cast("long")
+
 
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the rows of a staged table, measured: its strings and arrays at their lengths, and 40 a row for its place in the relation."""
+    return df.agg(F.sum(sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(40).cast("long")))).first()[0] or 0
 
-def fits(df: DataFrame, limit: int = BROADCAST_BYTES, rows: int | None = None) -> bool:
-    """Whether a staged table is small enough to broadcast. Counting Parquet rows reads only footers."""
-    n = df.count() if rows is None else rows
-    return n * (16 + sum(_width(f.dataType) for f in df.schema.fields)) <= limit
 
+def fits(df: DataFrame, limit: int | None = None, rows: int | None = None) -> bool:
+    """Whether a staged table is small enough to broadcast, by its measured bytes; a known number of ``rows`` may settle it without a job."""
+    limit = BROADCAST_BYTES if limit is None else limit
+    if rows is not None and rows * (40 + 8 * len(df.columns)) > limit:
+        return False
+    return measured_bytes(df) <= limit
 
-def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", limit: int = BROADCAST_BYTES, rows: int | None = None) -> DataFrame:
-    """Join with a broadcast of ``right`` where its checked size allows it, else a shuffled join (AQE splits skew)."""
-    return left.join(F.broadcast(right) if fits(right, limit, rows) else right, on, how)
+
+def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", limit: int | None = None, rows: int | None = None) -> DataFrame:
+    """Join with a broadcast of ``right`` where its measured size allows it, else a shuffled join (AQE splits skew)."""
+    return left.join(F.broadcast(right) if fits(right, limit, rows) else right.hint("merge"), on, how)
+
+
+def pair_up(rows: DataFrame, keys: list[str], member: str, payload: list[str] | None = None, block: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """Unordered pairs of different members of each group: ``keys``, ``member``1 < ``member``2, and each column of ``payload`` with 1 and 2.
+
+    ``rows`` are staged and distinct in ``keys`` and ``member``, without nulls. A group of more than ``block`` members is cut into
+    blocks that are paired with each other, so that no key meets more than ``block``² pairs, however large the
+    group is; all pairs come out, once for each group. ``sizes`` (keys, size) saves the count of the groups.
+    """
+    block, payload = block or PAIR_BLOCK, payload or []
+    if sizes is None:
+        sizes = rows.groupBy(*keys).agg(F.count("*").alias("size"))
+    hot = materialize(sizes.filter(F.col("size") > block).select(*keys, F.ceil(F.col("size") / block).cast("int").alias("__n")), "hot_groups")
+
+    def side(df: DataFrame, i: int, *more: Column) -> DataFrame:
+        return df.select(*keys, F.col(member).alias(f"{member}{i}"), *[F.col(p).alias(f"{p}{i}") for p in payload], *more)
+
+    first, second = F.col(f"{member}1"), F.col(f"{member}2")
+    names = [member, *payload]
+    if hot.isEmpty():
+        met = side(rows, 1).hint("merge").join(side(rows, 2), keys).filter(first < second)
+        return met.select(*keys, *[f"{c}{i}" for c in names for i in (1, 2)])
+    cut = join_checked(rows, hot, keys, "left").withColumn("__n", F.coalesce("__n", F.lit(1))).withColumn("__b", F.pmod(F.xxhash64(member), F.col("__n").cast("long")).cast("int"))
+    a = side(cut, 1, F.col("__b").alias("__i"), F.explode(F.sequence(F.col("__b"), F.col("__n") - 1)).alias("__j"))
+    b = side(cut, 2, F.explode(F.sequence(F.lit(0), F.col("__b"))).alias("__i"), F.col("__b").alias("__j"))
+    met = a.hint("merge").join(b, [*keys, "__i", "__j"]).filter((F.col("__i") < F.col("__j")) | (first < second))
+    right_way = first < second
+    return met.select(*keys, *[F.when(right_way == (i == 1), F.col(f"{c}1")).otherwise(F.col(f"{c}2")).alias(f"{c}{i}") for c in names for i in (1, 2)])
 
 
 def running_total(df: DataFrame, order: list[Column], weight: Column, out: str, parts: int | None = None) -> DataFrame:
