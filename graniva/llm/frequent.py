@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graniva.functions.keys import trimmed
+from graniva.plans.stage import materialize
 
-_SCHEMA = "field int, slot int, part int, key long, votes long, light binary"
+_SCHEMA = "field int, part int, key long, votes long"
 _TRIES = 4
 _ABSENT = -(2**63)
 
@@ -68,25 +69,15 @@ class HeavyLight:
             key, weight = fell
         np.add.at(self.light, self.counter(key), weight)
 
-    def rows(self, field: int, slots: int) -> pd.DataFrame:
-        """The state as rows: one for each bucket in use, and the light array in ``slots`` pieces."""
-        at = self.votes > 0
-        key = self.key[at]
-        heavy = pd.DataFrame({"field": field, "slot": self.bucket(key) % slots, "part": 0, "key": key, "votes": self.votes[at], "light": None})
-        return _typed([heavy, *_pieces(field, self.light, slots)])
+    def rows(self, field: int) -> pd.DataFrame:
+        """The state as rows: one for each bucket in use (part 0), and one for each counter in use (part 1, its position as key)."""
+        at, used = self.votes > 0, np.nonzero(self.light)[0]
+        key = np.concatenate([self.key[at], used])
+        part = np.repeat(np.array([0, 1], np.int32), [at.sum(), len(used)])
+        return pd.DataFrame({"field": np.full(len(key), field, np.int32), "part": part, "key": key, "votes": np.concatenate([self.votes[at], self.light[used]])})
 
 
-def _pieces(field: int, light: np.ndarray, slots: int) -> list[pd.DataFrame]:
-    size = -(-len(light) // slots)
-    parts = [(i, light[i * size : (i + 1) * size]) for i in range(slots)]
-    return [pd.DataFrame({"field": [field], "slot": [i], "part": [1], "key": [0], "votes": [0], "light": [p.tobytes()]}) for i, p in parts if p.any()]
-
-
-def _typed(rows: list[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(rows).astype({"field": "int32", "slot": "int32", "part": "int32", "key": "int64", "votes": "int64"})
-
-
-def _sketch(fields: int, buckets: int, counters: int, slots: int, batch_rows: int, salt: int):
+def _sketch(fields: int, buckets: int, counters: int, batch_rows: int, salt: int):
     def run(batches):
         state = [HeavyLight(buckets, counters, salt=salt) for _ in range(fields)]
 
@@ -106,33 +97,41 @@ def _sketch(fields: int, buckets: int, counters: int, slots: int, batch_rows: in
         if pending:
             flush(pending)
         for f in range(fields):
-            yield state[f].rows(f, slots)
+            yield state[f].rows(f)
 
     return run
 
 
-def _merge(buckets: int, counters: int, slots: int, salt: int, ways: int = 4):
-    """Recombine the buckets of one slot: equal keys add up, the ``ways`` heaviest of a bucket stay, others go to the light array."""
+def _recombine(buckets: int, counters: int, salt: int):
+    """Rows with the bucket that a key falls into, and the counter that it falls to."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        field, slot = int(pdf["field"].iloc[0]), int(pdf["slot"].iloc[0])
+    def run(batches):
         s = HeavyLight(buckets, counters, salt=salt)
-        light = [np.frombuffer(x, np.int64) for x in pdf.loc[pdf["part"] == 1, "light"]]
-        heavy = pdf[pdf["part"] == 0].groupby("key", as_index=False)["votes"].sum()
-        heavy["bucket"] = s.bucket(heavy["key"].to_numpy(np.int64))
-        heavy = heavy.sort_values(["bucket", "votes", "key"], ascending=[True, False, True])
-        stays = heavy.groupby("bucket").cumcount() < ways
-        gone = heavy[~stays]
-        np.add.at(s.light, s.counter(gone["key"].to_numpy(np.int64)), gone["votes"].to_numpy(np.int64))
-        rows = [heavy[stays].assign(field=field, slot=slot, part=0, light=None)[["field", "slot", "part", "key", "votes", "light"]], *_pieces(field, s.light, slots)]
-        if light:
-            rows.append(pd.DataFrame({"field": [field], "slot": [slot], "part": [1], "key": [0], "votes": [0], "light": [np.sum(light, axis=0).tobytes()]}))
-        return _typed(rows)
+        for pdf in batches:
+            key = pdf["key"].to_numpy(np.int64)
+            yield pdf.assign(bucket=s.bucket(key), counter=s.counter(key))
 
     return run
 
 
-def frequent_items(df: DataFrame, fields: dict[str, Column], share: float, *, buckets: int = 8192, counters: int = 65536, slots: int = 8, batch_rows: int = 200_000, exact: bool = True) -> DataFrame:
+def _merged(sketches: DataFrame, buckets: int, counters: int, salt: int, ways: int = 4) -> DataFrame:
+    """(field, part, key, votes) of all partitions together: equal keys and counters add up, of each bucket the ``ways`` heaviest keys stay, others fall to the counters.
+
+    Sums with map-side combine and a top-k window, so no task holds the sketches of more than its own partition, however many there are.
+    """
+    from pyspark.sql.window import Window
+
+    heavy = sketches.filter("part = 0").groupBy("field", "key").agg(F.sum("votes").alias("votes"))
+    heavy = heavy.mapInPandas(_recombine(buckets, counters, salt), "field int, key long, votes long, bucket long, counter long")
+    order = Window.partitionBy("field", "bucket").orderBy(F.desc("votes"), "key")
+    ranked = heavy.withColumn("r", F.row_number().over(order))
+    kind = F.when(F.col("r") <= ways, F.struct(F.lit(0).alias("part"), "key")).otherwise(F.struct(F.lit(1).alias("part"), F.col("counter").alias("key")))
+    heavy = ranked.select("field", kind.alias("k"), "votes").select("field", "k.part", "k.key", "votes")
+    light = sketches.filter("part = 1").select("field", "part", "key", "votes")
+    return heavy.unionByName(light).groupBy("field", "part", "key").agg(F.sum("votes").alias("votes"))
+
+
+def frequent_items(df: DataFrame, fields: dict[str, Column], share: float, *, buckets: int = 8192, counters: int = 65536, batch_rows: int = 200_000, exact: bool = True) -> DataFrame:
     """Values of each of ``fields`` that make up at least ``share`` of all rows of ``df``.
 
     Rows: ``field_name, value, n, n_low, n_high, n_rows``. The sketch bounds each count from both sides
@@ -152,7 +151,7 @@ def frequent_items(df: DataFrame, fields: dict[str, Column], share: float, *, bu
     n_rows = df.count()
     hashed = values.select(*[F.when(F.col(f"v{i}").isNull(), F.lit(_ABSENT)).otherwise(_hash(f"v{i}")).alias(f"k{i}") for i in range(len(names))])
     for attempt in range(_TRIES):
-        found, missed = _candidates(hashed, len(names), share * n_rows, buckets << attempt, counters << attempt, slots, batch_rows, attempt)
+        found, missed = _candidates(hashed, len(names), share * n_rows, buckets << attempt, counters << attempt, batch_rows, attempt)
         if not missed:
             break
     else:  # more hot values than the buckets can hold apart: count them all
@@ -178,20 +177,15 @@ def _stack(values: DataFrame, n: int) -> DataFrame:
     return values.select(F.explode(cells).alias("x")).select("x.*").filter("value is not null")
 
 
-def _candidates(hashed: DataFrame, n: int, limit: float, buckets: int, counters: int, slots: int, batch_rows: int, salt: int) -> tuple[list, bool]:
+def _candidates(hashed: DataFrame, n: int, limit: float, buckets: int, counters: int, batch_rows: int, salt: int) -> tuple[list, bool]:
     """Keys that may reach ``limit``, and whether others may: a key outside the buckets is bounded by its light counter."""
-    sketches = hashed.mapInPandas(_sketch(n, buckets, counters, slots, batch_rows, salt), _SCHEMA)
-    # bounded by the sketch: a few keys for each bucket, and the counters
-    state = sketches.groupBy("field", "slot").applyInPandas(_merge(buckets, counters, slots, salt), _SCHEMA).toPandas()
+    sketches = materialize(hashed.mapInPandas(_sketch(n, buckets, counters, batch_rows, salt), _SCHEMA), "sketches")
+    state = _merged(sketches, buckets, counters, salt).toPandas()  # bounded by the sketch: a few keys for each bucket, and the counters
     s, found, missed = HeavyLight(buckets, counters, salt=salt), [], False
-    size = -(-counters // slots)
     for i in range(n):
         own = state[state["field"] == i]
-        light = np.zeros(size * slots, np.int64)
-        for slot, piece in own.loc[own["part"] == 1, ["slot", "light"]].itertuples(index=False):
-            p = np.frombuffer(piece, np.int64)
-            light[slot * size : slot * size + len(p)] += p
-        heavy = own[own["part"] == 0]
+        light, piece, heavy = np.zeros(counters, np.int64), own[own["part"] == 1], own[own["part"] == 0]
+        light[piece["key"].to_numpy(np.int64)] = piece["votes"].to_numpy(np.int64)
         key, low = heavy["key"].to_numpy(np.int64), heavy["votes"].to_numpy(np.int64)
         high = low + light[s.counter(key)]
         keep = high >= limit

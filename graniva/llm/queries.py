@@ -92,8 +92,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that reach the adaptive threshold of their language and source, then the fixed share of the definition.
+
+    The adaptive threshold has the definition's share as its ceiling, so it loses no document of the definition.
+    """
     shares = repetition_shares(table(spark, d, "documents"), ["doc_id", "lang", "source"])
-    return flag_repetition(shares, ["lang", "source"], floor=0.30, ceiling=0.30).filter("flagged").select("doc_id")
+    flagged = flag_repetition(shares, ["lang", "source"], floor=0.05, ceiling=0.30).filter("flagged")
+    return flagged.filter(F.col("word_share") >= 0.30).select("doc_id")
 
 
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:

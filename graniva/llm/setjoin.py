@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graniva.functions.keys import trimmed, wide_key
-from graniva.plans.stage import join_checked, materialize
+from graniva.plans.stage import PAIR_BLOCK, join_checked, materialize, pair_up
 
 _MASK_BITS = 60
 
@@ -56,7 +56,8 @@ def similar_sets(df: DataFrame, set_col: str, token_col: str, threshold: float =
     on equal c-subsets and are verified on their elements. Pairs whose larger set is large are counted
     through the inverted lists of the elements. The at most 60 elements with more than ``hot_token`` sets
     aren't expanded: each set keeps a bit for them, and only sets with so many hot elements that hot ones alone could
-    reach the needed overlap stay in the lists of those in excess. Similarities are exact.
+    reach the needed overlap stay in the lists of those in excess. Lists and c-subsets of many sets, however many, are paired
+    block by block. Similarities are exact.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -80,7 +81,7 @@ def similar_sets(df: DataFrame, set_col: str, token_col: str, threshold: float =
     small = small if c > 1 else 0
     n_reps = reps.count()
     kept = join_checked(rows, reps.select("set_id", "side", "id", F.col("size").cast("int").alias("n")), ["set_id", "side"], rows=n_reps)
-    kept = kept.select("k1", "k2", "id", "n", *(["side"] if two else []))
+    kept = materialize(kept.select("k1", "k2", "id", "n", *(["side"] if two else [])), "kept")
 
     found = []
     if small >= min_size:
@@ -103,11 +104,8 @@ def _small_pairs(elements: DataFrame, t: float, c: int, least: int, most: int, t
     table = F.broadcast(spark.createDataFrame(picks, "n int, pick array<int>"))
     side = ["side"] if two else []
     subsets = elements.join(table, "n").select("id", "n", *side, F.xxhash64(*[F.element_at("e", F.element_at("pick", i + 1)) for i in range(c)]).alias("subset"))
-    a = subsets.select("subset", F.col("id").alias("id1"), F.col("n").alias("n1"), *[F.col(s).alias("p1") for s in side])
-    b = subsets.select("subset", F.col("id").alias("id2"), F.col("n").alias("n2"), *[F.col(s).alias("p2") for s in side])
-    fits_size = (F.least("n1", "n2") >= F.greatest("n1", "n2") * t - 1e-9) & (F.col("p1") != F.col("p2") if two else F.lit(True))
-    # the planner's estimates don't know how many subsets a set has, so it must not pick a broadcast
-    met = a.hint("merge").join(b.hint("merge"), "subset").filter(F.col("id1") < F.col("id2")).filter(fits_size).select("id1", "id2").distinct()
+    fits_size = (F.least("n1", "n2") >= F.greatest("n1", "n2") * t - 1e-9) & (F.col("side1") != F.col("side2") if two else F.lit(True))
+    met = pair_up(subsets, ["subset"], "id", ["n", *side]).filter(fits_size).select("id1", "id2").distinct()
     e1, e2 = (elements.select(F.col("id").alias(f"id{i}"), F.col("n").alias(f"n{i}"), F.col("e").alias(f"e{i}")) for i in (1, 2))
     n = elements.count()
     both = join_checked(join_checked(met, e1, "id1", rows=n), e2, "id2", rows=n)
@@ -120,7 +118,8 @@ def _listed_pairs(kept: DataFrame, t: float, small: int, two: bool, hot_token: i
     spark = kept.sparkSession
     side = ["side"] if two else []
     rows = kept.filter(F.col("n") > small * t - 1e-9) if small else kept
-    hot = rows.groupBy("k1", "k2").agg(F.count("*").alias("f")).filter(F.col("f") > hot_token).orderBy(F.desc("f"), "k1", "k2").limit(_MASK_BITS).collect()
+    long_lists = materialize(rows.groupBy("k1", "k2").agg(F.count("*").alias("size")).filter(F.col("size") > min(hot_token, PAIR_BLOCK)), "long_lists")
+    hot = long_lists.filter(F.col("size") > hot_token).orderBy(F.desc("size"), "k1", "k2").limit(_MASK_BITS).collect()
     light = rows.withColumn("one", F.lit(1))
     if hot:
         # bit 0 is the most frequent element; the first ceil(t·n) - 1 hot ones of a set stay out of the lists
@@ -130,14 +129,11 @@ def _listed_pairs(kept: DataFrame, t: float, small: int, two: bool, hot_token: i
         below = join_checked(marked, masks, "id").withColumn("before", F.bit_count(F.col("mask").bitwiseAND(F.expr("shiftleft(1L, bit) - 1L"))))
         excess = below.filter(F.col("before") >= F.ceil(F.col("n") * t - 1e-9) - 1).select("k1", "k2", "id", "n", *side, F.lit(0).alias("one"))
         light = light.join(marks, ["k1", "k2"], "left_anti").select("k1", "k2", "id", "n", *side, "one").unionByName(excess)
-    a = light.select("k1", "k2", F.col("id").alias("id1"), F.col("n").alias("n1"), "one", *[F.col(s).alias("p1") for s in side])
-    b = light.select("k1", "k2", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("one").alias("two"), *[F.col(s).alias("p2") for s in side])
-    ordered = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("id1") < F.col("id2")))
-    alike = (F.col("n2") > small) & (F.col("n1") >= F.col("n2") * t - 1e-9)
-    met = a.join(b, ["k1", "k2"]).filter(ordered & alike)
+    alike = (F.greatest("n1", "n2") > small) & (F.least("n1", "n2") >= F.greatest("n1", "n2") * t - 1e-9)
+    met = pair_up(light if not hot else materialize(light, "lists"), ["k1", "k2"], "id", ["n", "one", *side], sizes=long_lists).filter(alike)
     if two:
-        met = met.filter(F.col("p1") != F.col("p2"))
-    counted = met.groupBy("id1", "id2", "n1", "n2").agg(F.sum("one").alias("k"))
+        met = met.filter(F.col("side1") != F.col("side2"))
+    counted = met.groupBy("id1", "id2", "n1", "n2").agg(F.sum("one1").alias("k"))
     if hot:
         for i in (1, 2):
             counted = join_checked(counted, masks.select(F.col("id").alias(f"id{i}"), F.col("mask").alias(f"m{i}")), f"id{i}", "left")

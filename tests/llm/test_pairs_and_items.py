@@ -11,7 +11,7 @@ import pytest
 pytest.importorskip("graniva.llm")
 from pyspark.sql import functions as F
 
-from graniva.llm.cooccur import cooccurring_items, fit_null, poisson_binomial_tail
+from graniva.llm.cooccur import _nodes, cooccurring_items, fit_null, poisson_binomial_tail
 from graniva.llm.frequent import HeavyLight, frequent_ids, frequent_items
 from graniva.llm.queries import queries
 from graniva.llm.setjoin import similar_sets
@@ -52,8 +52,14 @@ def by_item(rows):
     return sets
 
 
-@pytest.mark.parametrize("giant", [4000, 5])
-def test_cooccurrence_counts(spark, ratings, giant):
+def small_blocks(monkeypatch, block):
+    for module in ("graniva.plans.stage", "graniva.llm.cooccur", "graniva.llm.setjoin"):
+        monkeypatch.setattr(f"{module}.PAIR_BLOCK", block)
+
+
+@pytest.mark.parametrize("giant,block", [(4000, 2000), (5, 6), (4000, 7)])
+def test_cooccurrence_counts(spark, ratings, giant, block, monkeypatch):
+    small_blocks(monkeypatch, block)
     sets = by_item(ratings)
     n = len({u for u, _ in clean(ratings)})
     want = {}
@@ -91,6 +97,26 @@ def test_null_fits_degrees():
     assert np.allclose(p @ c, d, rtol=1e-6)
 
 
+def test_null_of_many_degrees_is_not_merged():
+    """Sums over thousands of degrees through few nodes equal the sums over all of them."""
+    rng = np.random.default_rng(0)
+    y, c = np.unique(np.round(np.exp(rng.uniform(0, 12, 6000)))) * 1e-4, None
+    c = rng.integers(1, 1000, len(y)).astype(float)
+    at, w = _nodes(y, c)
+    assert len(y) > 2000 and len(at) == 192
+    for x in (1e-6, 1e-2, 1.0, 50.0):
+        assert (w * at / (1 + x * at)).sum() == pytest.approx((c * y / (1 + x * y)).sum(), rel=1e-9)
+    k = np.array([c.sum() * 0.3])
+    mean, log_p = poisson_binomial_tail((0.5 * y / (1 + 0.5 * y) * y / (1 + y))[None], c, k)
+    short = poisson_binomial_tail((0.5 * at / (1 + 0.5 * at) * at / (1 + at))[None], w, k)
+    assert short[0][0] == pytest.approx(mean[0], rel=1e-9) and short[1][0] == pytest.approx(log_p[0], rel=1e-6, abs=1e-6)
+    items = [(int(d), 3) for d in range(1, 1500)]
+    baskets = [(int(d), 3) for d in range(1, 1500)]
+    d, x, cb, yb = fit_null(items, baskets)
+    p = np.outer(x, yb) / (1 + np.outer(x, yb))
+    assert np.allclose(p @ cb, d, rtol=1e-6)
+
+
 def test_poisson_binomial_tail_against_exact():
     q, c = np.array([[0.3, 0.05, 0.6]]), np.array([10.0, 40.0, 5.0])
     exact = np.array([1.0])
@@ -131,14 +157,21 @@ def overlapping():
     return rows
 
 
-@pytest.mark.parametrize("t,least,hot", [(0.5, 5, 5000), (0.5, 1, 5000), (0.3, 3, 5), (0.8, 5, 5), (1.0, 1, 5000)])
-def test_similar_sets_against_brute_force(spark, overlapping, t, least, hot):
+@pytest.mark.parametrize("t,least,hot,block", [(0.5, 5, 5000, 2000), (0.5, 1, 5000, 4), (0.3, 3, 5, 2000), (0.8, 5, 5, 4), (1.0, 1, 5000, 2000)])
+def test_similar_sets_against_brute_force(spark, overlapping, t, least, hot, block, monkeypatch):
+    small_blocks(monkeypatch, block)
     rows = [(u, b) for u, b in overlapping]
     found = similar_sets(rated(spark, rows), "business_id", "user_id", t, least, hot_token=hot)
     got = {(r.set_id_1, r.set_id_2): round(r.similarity, 9) for r in found.pairs().collect()}
     assert got == jaccard(by_item(rows), t, least)
 
 
+def test_similar_sets_without_broadcasts(spark, overlapping, monkeypatch):
+    monkeypatch.setattr("graniva.plans.stage.BROADCAST_BYTES", 0)
+    found = similar_sets(rated(spark, overlapping), "business_id", "user_id", 0.5, 5)
+    assert {(r.set_id_1, r.set_id_2): round(r.similarity, 9) for r in found.pairs().collect()} == jaccard(by_item(overlapping), 0.5, 5)
+
+
 def test_similar_sets_classes(spark, overlapping):
     found = similar_sets(rated(spark, overlapping), "business_id", "user_id", 0.5, 5)
     members = {r.set_id: r.class_id for r in found.members.collect()}
@@ -196,6 +229,12 @@ def test_frequent_items_against_counts(spark, buckets):
     assert got == {k: n for k, n in want.items() if n >= 0.01 * len(rows)}
 
 
+def test_sketches_of_many_partitions_merge(spark):
+    """More partitions than any task could hold the sketches of: the merge is by sums alone."""
+    df = spark.range(0, 40_000, 1, 300).selectExpr("CASE WHEN id % 5 = 0 THEN 'hot' ELSE cast(id AS string) END AS v")
+    assert [(r.value, r.n) for r in frequent_items(df, {"v": F.col("v")}, 0.1, buckets=64, counters=256).collect()] == [("hot", 8000)]
+
+
 def test_frequent_ids_of_empty_and_null(spark):
     schema = "user_id string, business_id string"
     assert frequent_ids(spark.createDataFrame([], schema)).count() == 0

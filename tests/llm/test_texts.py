@@ -8,6 +8,7 @@ import pytest
 import regex
 
 pytest.importorskip("graniva.llm")
+from graniva.llm import queries as llm_queries
 from graniva.llm.canonical import Matcher, map_cities, map_to_reference
 from graniva.llm.encode import TOKENIZER, decode_corpus, encode_corpus, token_counts
 from graniva.llm.mixing import mix_sources, plan_quotas, split_blocks
@@ -82,6 +83,23 @@ def test_adaptive_thresholds(spark):
         flag_repetition(shares, ["lang"], floor=0.5, ceiling=0.3)
 
 
+@pytest.mark.parametrize("sketch", [True, False])
+def test_found_rows_come_through_the_sketch(spark, tmp_path, monkeypatch, sketch):
+    texts = ["a b c d e f g h i j " * 3, "only once here", "k l m n o p q r " * 2, None]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    asked = []
+
+    def flag(shares, groups, **kw):
+        asked.append((groups, kw))
+        out = flag_repetition(shares, groups, **kw)
+        return out if sketch else out.withColumn("flagged", out["flagged"] & (out["doc_id"] != 0))
+
+    monkeypatch.setattr(llm_queries, "flag_repetition", flag)
+    found = {r.doc_id for r in llm_queries.p10_found(spark, str(tmp_path)).collect()}
+    assert found == ({0, 2} if sketch else {2})
+    assert asked[0][0] == ["lang", "source"] and asked[0][1]["floor"] < asked[0][1]["ceiling"] <= 0.30
+
+
 # -- mixing ----------------------------------------------------------------------------------------
 
 
