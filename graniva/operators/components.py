@@ -13,7 +13,7 @@ from graniva.plans.stage import materialize
 SINGLE_TASK_EDGES = 500_000
 
 
-def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def component_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Vertices and the smallest vertex of their component, for one array of edges."""
     v, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = at[: len(a)], at[len(a) :]
@@ -48,7 +48,7 @@ def _forest(batches):
 
 def _shrunk(parts: list[pd.DataFrame]) -> pd.DataFrame:
     pdf = pd.concat(parts)
-    v, r = _roots(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
+    v, r = component_roots(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
     own = v != r
     return pd.DataFrame({"src": v[own], "dst": r[own]})
 

@@ -8,11 +8,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graniva.plans.stage import materialize
+from graniva.plans.stage import PAIR_BLOCK, is_empty, join_checked, materialize
 
 EARTH_RADIUS = 6_371_008.8
 
 
+#: Part number of a cell taken as a whole; 0 to 3 are its quarters.
+_WHOLE = 4
+
+
 def usable(lat: Column, lon: Column) -> Column:
     """Whether coordinates are a place: neither null nor NaN nor out of range nor both 0."""
     good = lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon) & (F.abs(lat) <= 90) & (F.abs(lon) <= 180) & ~((lat == 0) & (lon == 0))
@@ -50,9 +54,9 @@ def near_pairs(df: DataFrame, key: str, lat: str, lon: str, metres: float, radiu
     """Pairs of different keys at most ``metres`` apart: (key_1 < key_2), once each.
 
     Rows at the same place are one place with several keys. The disc around a place is covered by cells: those
-    wholly inside it are joined without a test, those on its border with the exact distance. A
-    coverage is adaptive: full quarters count as one cell of level 0, others are cut into level-1 cells. Poles and the date line
-    are crossed. Rows without a key or a usable place are left out; a key with several places is near wherever
+    wholly inside it are joined on the cell alone and accepted, those on its border have a join of their own with the exact
+    distance. A coverage is adaptive: full quarters count as one cell of level 0, others are cut into level-1 cells. Cells with many
+    places are cut into blocks. Poles and the date line are crossed. Rows without a key or a usable place are left out; a key with several places is near wherever
     one of them is; repeated rows and extra columns change nothing; an empty table gives no rows.
     """
     places, members = _places(df, key, lat, lon)
@@ -82,7 +86,7 @@ def _places(df: DataFrame, key: str, lat: str, lon: str) -> tuple[DataFrame, Dat
     return places, materialize(rows.join(places, ["lat", "lon"]).select("place", "key"), "members")
 
 
-def _near_places(places: DataFrame, metres: float, radius: float) -> DataFrame:
+def _near_places(places: DataFrame, metres: float, radius: float, block: int | None = None) -> DataFrame:
     """Pairs of places (p < q) within ``metres``, staged."""
     if metres <= 0:
         raise ValueError("metres must be positive")
@@ -92,6 +96,8 @@ def _near_places(places: DataFrame, metres: float, radius: float) -> DataFrame:
     h = grid.height
     reach = math.degrees(metres / radius) * (1 + 1e-9)
     lat, lon = F.col("lat"), F.col("lon")
+    # few files of places make many cells: spread them before they are cut up
+    places = places.repartition(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), "place")
 
     # every place lies in one cell; its quarters tell in which level-1 cell
     band = grid.band(lat)
@@ -100,6 +106,14 @@ def _near_places(places: DataFrame, metres: float, radius: float) -> DataFrame:
     up = (F.floor((lat + 90) / h * 2) - 2 * F.col("band")).cast("int")
     right = (F.floor((lon + 180) / 360 * F.col("n") * 2) - 2 * F.col("cell")).cast("int")
     inside = own.select("place", "lat", "lon", "band", "cell", (F.greatest(F.lit(0), F.least(F.lit(1), up)) * 2 + F.greatest(F.lit(0), F.least(F.lit(1), right))).alias("quarter"))
+    inside = materialize(inside, "inside")
+    crowded = inside.groupBy("band", "cell").agg(F.count("*").alias("size")).filter(F.col("size") > (block or PAIR_BLOCK))
+    crowded = materialize(crowded.select("band", "cell", F.ceil(F.col("size") / (block or PAIR_BLOCK)).cast("int").alias("blocks")), "crowded")
+    if is_empty(crowded):
+        inside = inside.withColumn("block", F.lit(0))
+    else:
+        inside = join_checked(inside, crowded, ["band", "cell"], "left")
+        inside = inside.withColumn("block", F.pmod(F.xxhash64("place"), F.coalesce("blocks", F.lit(1)).cast("long")).cast("int")).drop("blocks")
 
     # the disc's bands, then the cells of each band between its extreme longitudes
     low, high = F.floor((F.greatest(lat - reach, F.lit(-90.0)) + 90) / h), F.floor((F.least(lat + reach, F.lit(90.0)) + 90) / h)
@@ -124,14 +138,24 @@ def _near_places(places: DataFrame, metres: float, radius: float) -> DataFrame:
 
     quarters = [corners(i / 2, (i + 1) / 2, j / 2, (j + 1) / 2) for i in (0, 1) for j in (0, 1)]
     discs = discs.withColumn("full", corners(0, 1, 0, 1))
-    kinds = F.when(F.col("full"), F.array(*[F.lit(True)] * 4)).otherwise(F.array(*quarters))
-    cover = discs.select(F.col("place").alias("p"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "band", "cell", kinds.alias("interior"))
-
+    quarter = [F.struct(F.lit(i).alias("part"), q.alias("sure")) for i, q in enumerate(quarters)]
+    parts = F.when(F.col("full"), F.array(F.struct(F.lit(_WHOLE).alias("part"), F.lit(True).alias("sure")))).otherwise(F.array(*quarter))
+    cover = discs.select(F.col("place").alias("p"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "band", "cell", parts.alias("parts"))
+    if is_empty(crowded):
+        cover = cover.withColumn("block", F.lit(0))
+    else:
+        cover = join_checked(cover, crowded, ["band", "cell"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    cover = cover.select("p", "lat1", "lon1", "band", "cell", "block", F.explode("parts").alias("x")).select("p", "lat1", "lon1", "band", "cell", "block", "x.*")
+
+    # interior cells: the equi-join alone decides, coordinates don't travel
+    on = ["band", "cell", "block", "part"]
+    spots = inside.select("place", "band", "cell", "block", F.explode(F.array("quarter", F.lit(_WHOLE))).alias("part"))
     # the planner's estimates don't know how many cells a disc has, so it must not pick a broadcast
-    met = cover.hint("merge").join(inside.hint("merge"), ["band", "cell"]).filter("p < place")
-    accepted = F.element_at("interior", F.col("quarter") + 1)
+    sure = cover.filter("sure").select("p", *on).hint("merge").join(spots.hint("merge"), on).filter("p < place").select("p", F.col("place").alias("q"))
+    # border cells: the exact distance of each pair
     exact = great_circle(F.col("lat1"), F.col("lon1"), lat, lon, radius) <= metres
-    pairs = met.filter(F.when(accepted, F.lit(True)).otherwise(exact)).select("p", F.col("place").alias("q")).distinct()
+    border = cover.filter("not sure").drop("sure").hint("merge").join(inside.withColumnRenamed("quarter", "part").hint("merge"), on)
+    pairs = sure.union(border.filter("p < place").filter(exact).select("p", F.col("place").alias("q")))
     return materialize(pairs, "near")
 
 
@@ -171,7 +195,7 @@ def _cover_region(rings: list, side: float, levels: int, west: float, south: flo
         k, r, c = todo.pop()
         w = side / 2**k
         box = (west + c * w, south + r * w, west + (c + 1) * w, south + (r + 1) * w)
-        if crosses(*box):
+        if crosses(box[0] - 1e-9, box[1] - 1e-9, box[2] + 1e-9, box[3] + 1e-9):  # rounding never makes a border cell an interior one
             if k == levels:
                 out.append((k, r, c, False))
             else:
@@ -200,7 +224,8 @@ def points_in_regions(points: DataFrame, key: str, lat: str, lon: str, regions:
             yield pd.DataFrame(rows, columns=["region", "level", "row", "col", "interior"])
 
     named = regions.select(F.col(region).alias("region"), F.col(rings).alias("rings")).dropna()
-    cover = materialize(named.mapInPandas(run, f"region {kind}, level int, row long, col long, interior boolean"), "cover")
+    named = materialize(named, "regions")
+    cover = materialize(named.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(run, f"region {kind}, level int, row long, col long, interior boolean"), "cover")
     x, y = F.col(lon), F.col(lat)
     own = points.filter(usable(y, x)).select(F.col(key).alias("key"), y.alias("lat"), x.alias("lon"))
     at = own.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
@@ -209,7 +234,7 @@ def points_in_regions(points: DataFrame, key: str, lat: str, lon: str, regions:
     met = at.hint("merge").join(cover.hint("merge"), ["level", "row", "col"])
     sure = met.filter("interior").select("key", "region")
     edges = F.flatten(F.transform("rings", lambda r: F.zip_with(r, F.concat(F.slice(r, 2, F.greatest(F.size(r), F.lit(1))), F.slice(r, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
-    border = met.filter("not interior").join(named.withColumn("edges", edges).drop("rings"), "region")
+    border = join_checked(met.filter("not interior"), materialize(named.withColumn("edges", edges).drop("rings"), "edges"), "region")
 
     def cuts(e: Column) -> Column:
         ay, ax, by, bx = e["a"]["lat"], e["a"]["lon"], e["b"]["lat"], e["b"]["lon"]

@@ -31,29 +31,47 @@ def p4_places(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("key").alias("business_id"), "place_id", F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
-def _attributes(spark: SparkSession, d: str) -> DataFrame:
-    return nested.object_nodes(table(spark, d, "business"), "business_id", "attributes", _DICTS)
+def p4_regions(spark: SparkSession, d: str) -> DataFrame:
+    """(city, business_id): the businesses inside the diamond that spans the places of each typed city of at least five places."""
+    b = table(spark, d, "business").select("business_id", "city", "latitude", "longitude").distinct().filter(geo.usable(F.col("latitude"), F.col("longitude")))
+    box = b.dropna(subset=["city"]).groupBy("city").agg(F.count("*").alias("n"), *[f(c).alias(f"{c[:3]}{i}") for c in ("latitude", "longitude") for i, f in enumerate((F.min, F.max))])
+    mid = {c: (F.col(f"{c}0") + F.col(f"{c}1")) / 2 for c in ("lat", "lon")}
+    corners = [(F.col("lat0"), mid["lon"]), (mid["lat"], F.col("lon1")), (F.col("lat1"), mid["lon"]), (mid["lat"], F.col("lon0"))]
+    ring = F.array(*[F.struct(y.alias("lat"), x.alias("lon")) for y, x in corners])
+    regions = box.filter("n >= 5").select("city", F.array(ring).alias("rings"))
+    found = geo.points_in_regions(b, "business_id", "latitude", "longitude", regions, "city", "rings", 1.0, 4)
+    return found.select(F.col("region").alias("city"), F.col("key").alias("business_id"))
+
+
+def _attributes(spark: SparkSession, d: str, dicts: tuple[str, ...] = _DICTS) -> dict[str, DataFrame]:
+    return nested.subtype_tables(table(spark, d, "business"), "business_id", "attributes", dicts)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves read out of the typed subtype tables that the variants were routed to."""
     return nested.leaf_rows(_attributes(spark, d), "business_id").distinct()
 
 
 def p5_leaves(spark: SparkSession, d: str) -> DataFrame:
     """The leaves that are stored as such, without the dictionaries in text form."""
-    nodes = _attributes(spark, d).filter(~F.split("kind", r"\.")[0].isin(*_DICTS))
-    return nested.leaf_rows(nodes, "business_id").distinct()
+    tables = _attributes(spark, d)
+    return nested.leaf_rows({k: t for k, t in tables.items() if k not in _DICTS}, "business_id").distinct()
 
 
 def p5_objects(spark: SparkSession, d: str) -> DataFrame:
     """The supertype table of all nested objects with their parent links."""
-    return _attributes(spark, d).drop("leaves")
+    return nested.supertype(_attributes(spark, d), "business_id")
 
 
 def p5_variants(spark: SparkSession, d: str) -> DataFrame:
     return nested.variants(_attributes(spark, d))
 
 
+def p5_dishes(spark: SparkSession, d: str) -> DataFrame:
+    """The typed table of one kind of object, with its parent links."""
+    return nested.subtype(_attributes(spark, d), "Menus.sections.dishes").drop("variant").withColumn("tags", F.array_join("tags", "|", "?"))
+
+
 # -- exploration -----------------------------------------------------------------------------------
 
 

@@ -59,14 +59,22 @@ _BASKETS = """
 WITH b AS (
   SELECT DISTINCT trim(user_id, ' ') AS basket, trim(business_id, ' ') AS item FROM yelp_train
   WHERE trim(business_id, ' ') <> '' AND trim(user_id, ' ') <> '')"""
-_FREQUENT = (
-    _BASKETS
-    + """, f AS (SELECT * FROM b WHERE item IN (SELECT item FROM b GROUP BY item HAVING count(*) >= 20))
-SELECT item AS items, count(*) AS n FROM f GROUP BY 1
-UNION ALL SELECT x.item || ',' || y.item, count(*) FROM f x JOIN f y ON x.basket = y.basket AND x.item < y.item GROUP BY 1 HAVING count(*) >= 20
-UNION ALL SELECT x.item || ',' || y.item || ',' || z.item, count(*) FROM f x JOIN f y ON x.basket = y.basket AND x.item < y.item
-  JOIN f z ON z.basket = x.basket AND y.item < z.item GROUP BY 1 HAVING count(*) >= 20"""
-)
+
+
+def _itemsets(baskets: str, support: int) -> str:
+    """All frequent itemsets of any size: each step of the recursion extends the sets of each basket and keeps the frequent ones; it ends with the first empty level."""
+    return (
+        baskets.replace("WITH b", "WITH RECURSIVE b", 1)
+        + f""", f AS (SELECT * FROM b WHERE item IN (SELECT item FROM b GROUP BY item HAVING count(*) >= {support})
+), g AS (
+  SELECT basket, item AS items, item AS top FROM f
+  UNION ALL SELECT basket, items, top FROM (
+    SELECT f.basket, g.items || ',' || f.item AS items, f.item AS top, count(*) OVER (PARTITION BY g.items, f.item) AS n FROM g JOIN f ON f.basket = g.basket AND f.item > g.top) WHERE n >= {support})
+SELECT items, count(*) AS n FROM g GROUP BY 1"""
+    )
+
+
+_FREQUENT = _itemsets(_BASKETS, 20)
 
 _RATINGS = """
 WITH q AS (
@@ -140,21 +148,21 @@ SQL = {
     "baskets_filtered": _BASKETS + " SELECT basket, count(*) AS n_items FROM b GROUP BY 1 HAVING count(*) > 5",
     "frequent_itemsets": _FREQUENT,
     "son_frequent": _FREQUENT,
-    "frequent_itemsets_filtered": """
+    "frequent_itemsets_filtered": _itemsets("""
 WITH b0 AS (
   SELECT DISTINCT trim(business_id, ' ') AS basket, trim(user_id, ' ') AS item FROM yelp_train
   WHERE trim(business_id, ' ') <> '' AND trim(user_id, ' ') <> ''
-), b AS (SELECT * FROM b0 WHERE basket IN (SELECT basket FROM b0 GROUP BY 1 HAVING count(*) > 20)
-), f AS (SELECT * FROM b WHERE item IN (SELECT item FROM b GROUP BY item HAVING count(*) >= 8))
-SELECT item AS items, count(*) AS n FROM f GROUP BY 1
-UNION ALL SELECT x.item || ',' || y.item, count(*) FROM f x JOIN f y ON x.basket = y.basket AND x.item < y.item GROUP BY 1 HAVING count(*) >= 8""",
-    "son_candidates": _BASKETS
+), b AS (SELECT * FROM b0 WHERE basket IN (SELECT basket FROM b0 GROUP BY 1 HAVING count(*) > 20))""", 8),
+    "son_candidates": _BASKETS.replace("WITH b", "WITH RECURSIVE b", 1)
     + """, c AS (SELECT *, unicode(basket) % 4 AS chunk FROM b
 ), lim AS (SELECT chunk, count(DISTINCT basket) * 20.0 / (SELECT count(DISTINCT basket) FROM c) AS lim FROM c GROUP BY 1
-), s AS (
-  SELECT chunk, item AS items, count(*) AS n FROM c GROUP BY 1, 2
-  UNION ALL SELECT x.chunk, x.item || ',' || y.item, count(*) FROM c x JOIN c y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2)
-SELECT DISTINCT items FROM s JOIN lim USING (chunk) WHERE n >= lim - 1e-9""",
+), f AS (SELECT c.*, lim FROM c JOIN lim USING (chunk) QUALIFY count(*) OVER (PARTITION BY chunk, item) >= lim - 1e-9
+), g AS (
+  SELECT chunk, basket, item AS items, item AS top FROM f
+  UNION ALL SELECT chunk, basket, items, top FROM (
+    SELECT f.chunk, f.basket, g.items || ',' || f.item AS items, f.item AS top, f.lim, count(*) OVER (PARTITION BY f.chunk, g.items, f.item) AS n
+    FROM g JOIN f ON f.basket = g.basket AND f.item > g.top) WHERE n >= lim - 1e-9)
+SELECT DISTINCT items FROM g""",
     "minhash_signature": _SIGNATURES + " SELECT item, i, value FROM sig",
     "lsh_candidates": _BUCKETS + " SELECT item_1, item_2 FROM cand",
     "lsh_pairs": _BUCKETS + _COMMON + " SELECT item_1, item_2, round(s, 6) AS similarity FROM sim JOIN cand USING (item_1, item_2) WHERE s >= 0.5",
@@ -216,6 +224,21 @@ SELECT seqnum, ends.slot, arg_max(element, n) AS element FROM ends LEFT JOIN k O
     + """, d AS (SELECT point_id, s.cluster, sqrt(sum(pow(x - s / n, 2) / (q / n - pow(s / n, 2)))) AS dist FROM v JOIN s USING (dim) GROUP BY 1, 2)
 SELECT point_id, CASE WHEN min(dist) < 16 THEN arg_min(cluster, dist) END AS label, round(min(dist), 6) AS distance FROM d GROUP BY 1""",
     "p5_leaves": _LEAVES + "".join(f"  UNION ALL SELECT business_id, '{f}', a.{f} FROM b\n" for f in _FIELDS.split()) + ") SELECT DISTINCT business_id, path, leaf FROM leaf WHERE leaf IS NOT NULL",
+    "p5_dishes": _LEAVES.rstrip()
+    + """) SELECT business_id, path, parent, pos::INTEGER AS pos, dish, price, array_to_string(list_transform(tags, lambda t: coalesce(t, '?')), '|') AS tags FROM (
+  SELECT business_id, p || '.dishes[' || (i - 1) || ']' AS path, p AS parent, i - 1 AS pos, x.dishes[i].dish AS dish, x.dishes[i].price AS price, x.dishes[i].tags AS tags, x.dishes[i] AS o
+  FROM s, unnest(range(1, len(x.dishes) + 1)) AS t(i)) WHERE o IS NOT NULL""",
+    "p4_regions": """
+WITH u AS (
+  SELECT DISTINCT business_id, city, latitude AS y, longitude AS x FROM business
+  WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND NOT isnan(latitude) AND NOT isnan(longitude)
+    AND abs(latitude) <= 90 AND abs(longitude) <= 180 AND NOT (latitude = 0 AND longitude = 0)
+), c AS (SELECT city, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1, (min(y) + max(y)) / 2 AS ym, (min(x) + max(x)) / 2 AS xm FROM u WHERE city IS NOT NULL GROUP BY city HAVING count(*) >= 5
+), e AS (
+  SELECT city, y0 AS ay, xm AS ax, ym AS by_, x1 AS bx FROM c UNION ALL SELECT city, ym, x1, y1, xm FROM c
+  UNION ALL SELECT city, y1, xm, ym, x0 FROM c UNION ALL SELECT city, ym, x0, y0, xm FROM c)
+SELECT DISTINCT e.city, business_id FROM u, e
+WHERE (ay > y) <> (by_ > y) AND x < (bx - ax) * (y - ay) / (by_ - ay) + ax GROUP BY e.city, business_id, y, x HAVING count(*) % 2 = 1""",
     "p4_found": """
 WITH b AS (
   SELECT DISTINCT business_id, latitude AS y, longitude AS x FROM business

@@ -349,7 +349,9 @@ def test_near_pairs(spark, metres):
     assert rows(geo.near_pairs(df, "key", "lat", "lon", metres)) == want
     assert geo.near_pairs(df.limit(0), "key", "lat", "lon", metres).count() == 0
     members, near = geo.near_classes(df, "key", "lat", "lon", metres)
-    assert members.count() == len(data) and near.filter("p >= q").count() == 0
+    assert members.count() == len(data) and near.filter("p >= q").count() == 0 and near.distinct().count() == near.count()
+    places, _ = geo._places(df, "key", "lat", "lon")
+    assert rows(geo._near_places(places, metres, geo.EARTH_RADIUS, block=3)) == rows(geo._near_places(places, metres, geo.EARTH_RADIUS))
 
 
 def test_points_in_regions(spark):
@@ -384,22 +386,38 @@ def test_nested_records(spark):
         ("y", 1, (None, '{"p": 3}', None)), ("z", 1, (None, "{'p': Tr", None)), ("w", 1, None), (None, 1, ("v", "None", [])),
     ]
     df = spark.createDataFrame(data, schema)
-    nodes = nested.object_nodes(df, "id", "a", ("D",))
+    tables = nested.subtype_tables(df, "id", "a", ("D",))
     want = {("x", "s", ""), ("x", "D.p", "true"), ("x", "D.q.s", "false"), ("x", "M[0].t", "m"), ("x", "M[0].d[0].n", "n"), ("x", "M[0].d[0].tags[0]", "1"), ("x", "M[0].d[0].tags[2]", "3"), ("y", "D.p", "3"), (None, "s", "v")}
-    leaves = nested.leaf_rows(nodes, "id")
+    leaves = nested.leaf_rows(tables, "id")
     assert rows(leaves) == want and leaves.count() == len(want)
-    at = {(r.id, r.path): r for r in nodes.collect()}
+    at = {(r.id, r.path): r for r in nested.supertype(tables, "id").collect()}
     assert at["x", "M[0].d[0]"].parent == "M[0]" and at["x", "M[0]"].parent == "" and at["x", ""].parent is None and at["x", "M[2]"].pos == 2
     assert at["x", "D.q"].parent == "D" and ("w", "") not in at
-    v = {(r.kind, r.variant): r.n for r in nested.variants(nodes).collect()}
-    assert v["M", "{t'd[0|{}]}".replace("'d", "',d")] == 1 and v["M.d", "{n',tags['|0]}"] == 1
-    table = nested.subtype(nodes, "id", "M.d", "{n',tags['|0]}", ["n", "tags"])
-    assert [tuple(r) for r in table.collect()] == [("x", "M[0].d[0]", "M[0]", 0, "n", '["1","3"]')]
-    assert nested.object_nodes(df.limit(0), "id", "a", ("D",)).count() == 0
-
-
-def test_routed_variants(spark, tmp_path):
-    df = spark.createDataFrame([("x", ("1", [("q",)])), ("y", (None, [("q",)]))], "id string, a struct<s:string,M:array<struct<t:string>>>")
-    nested.write_variants(nested.object_nodes(df, "id", "a"), str(tmp_path / "v"))
-    back = spark.read.parquet(str(tmp_path / "v"))
-    assert back.count() == 4 and back.select("kind", "shape").distinct().count() == 3
+    v = {(r.kind, r.variant): r.n for r in nested.variants(tables).collect()}
+    assert v["M", "{t',d[0|{n',tags['|0]}]}"] == 1 and v["M.d", "{n',tags['|0]}"] == 1 and v["D", "{p?,q{}}"] == 1
+    flat = nested.variants(nested.subtype_tables(df, "id", "a", ("D",), depth=0, routed=False))
+    assert ("M", "{t',d[0|{}]}", 1) in rows(flat)
+    dishes = nested.subtype(tables, "M.d", "{n',tags['|0]}")
+    assert [tuple(r) for r in dishes.select("id", "path", "parent", "pos", "n", "tags").collect()] == [("x", "M[0].d[0]", "M[0]", 0, "n", ["1", None, "3"])]
+    assert dict(tables["D"].select("fields.*").dtypes) == {"flags": "array<struct<name:string,value:boolean>>", "texts": "array<struct<name:string,value:string>>"}
+    assert nested.leaf_rows(nested.subtype_tables(df.limit(0), "id", "a", ("D",)), "id").count() == 0
+
+
+def test_subtype_tables_with_clashing_names_and_types(spark):
+    schema = "pos int, a struct<path:int,parent:double,shape:boolean,o:struct<variant:date,flags:array<array<int>>>>"
+    df = spark.createDataFrame([(7, (1, 0.5, True, (None, [[1], None, [2, None]]))), (None, (None, None, None, None)), (8, None)], schema)
+    tables = nested.subtype_tables(df.withColumnRenamed("pos", "k"), "k", "a")
+    assert rows(nested.leaf_rows(tables, "k")) == {(7, "path", "1"), (7, "parent", "0.5"), (7, "shape", "true"), (7, "o.flags[0][0]", "1"), (7, "o.flags[2][0]", "2")}
+    assert tables["root"].schema["fields"].dataType["parent"].dataType.simpleString() == "double" and tables["o"].count() == 1
+
+
+def test_variants_are_routed(spark, tmp_path):
+    df = spark.createDataFrame([("x", ("1", [("q",)])), ("y", (None, [("q",)])), ("z", (None, [(None,)]))], "id string, a struct<s:string,M:array<struct<t:string>>>")
+    tables = nested.subtype_tables(df, "id", "a")
+    assert {k: t.select("shape").distinct().count() for k, t in tables.items()} == {"root": 3, "M": 2}
+    plan = nested.subtype(tables, "M", "{t'}")._jdf.queryExecution().toString()
+    assert "EqualTo(shape," in plan and nested.subtype(tables, "M", "{t'}").count() == 2
+    assert rows(nested.leaf_rows(tables, "id")) == {("x", "s", "1"), ("x", "M[0].t", "q"), ("y", "M[0].t", "q")}
+    nested.write_variants(tables, str(tmp_path / "v"))
+    back = spark.read.parquet(str(tmp_path / "v" / "M"))
+    assert back.count() == 3 and back.select("shape").distinct().count() == 2 and back.select("fields.t").count() == 3
