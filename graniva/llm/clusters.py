@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graniva.operators.components import connected_components
-from graniva.plans.stage import materialize
+from graniva.operators.components import component_roots, connected_components
+from graniva.plans.stage import fits, is_empty, join_checked, materialize
 
 #: Leaves that a partition's tree, and the merged tree, may have.
 MAX_LEAVES = 1024
-#: Points of one task in the steps that compare points with points.
+#: Points of one task in the steps that compare points with points; cells of more points have trees, leaves and Ward clusters of their own.
 CHUNK = 20_000
+#: Rounds in which the anchors of a large cell come from one chunk of its points that have none yet, before every chunk picks its own.
+NET_ROUNDS = 3
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -218,19 +220,22 @@ def cf_leaves(points: DataFrame, dim: int, threshold: float, max_leaves: int = M
     return n[order], ls[order] / n[order, None]
 
 
-def assign(points: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(point_id, x, leaf): the nearest pivot of every point; staged."""
+def assign(points: DataFrame, pivots: np.ndarray, label: np.ndarray | None = None) -> DataFrame:
+    """(point_id, x, leaf): the nearest pivot of every point, or its ``label``; staged."""
+    names = np.arange(len(pivots)) if label is None else label
 
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                x = _stack(pdf["x"])
-                leaf = np.concatenate([_squares(x[i : i + 2000], pivots).argmin(1) for i in range(0, len(x), 2000)])
-                yield pdf.assign(leaf=leaf.astype(np.int32))
+                yield pdf.assign(leaf=names[_nearest(_stack(pdf["x"]), pivots)].astype(np.int32))
 
     return materialize(points.mapInPandas(run, "point_id long, x array<double>, leaf int"), "assigned")
 
 
+def _nearest(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.concatenate([_squares(x[i : i + 2000], pivots).argmin(1) for i in range(0, len(x), 2000)])
+
+
 def typical_members(labelled: DataFrame, dim: int, members: int = 5, salts: int = 32) -> DataFrame:
     """(cluster_id, size, typical) of (cluster_id, point_id, x): the points nearest to the centroid, nearest first, ties by id."""
     from pyspark.sql.window import Window
@@ -238,7 +243,10 @@ def typical_members(labelled: DataFrame, dim: int, members: int = 5, salts: int
     centre = labelled.groupBy("cluster_id").agg(F.count("*").alias("size"), F.array(*[F.avg(F.col("x")[i]) for i in range(dim)]).alias("c"))
     centre = materialize(centre, "centroids")
     d = F.aggregate(F.zip_with("x", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    far = labelled.join(centre, "cluster_id").select("cluster_id", "size", "point_id", d.alias("d"), F.pmod(F.xxhash64("point_id"), F.lit(salts)).alias("salt"))
+    # the salt keeps a large cluster from being one key of the join and of the first ranking
+    copies = centre.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    far = labelled.withColumn("salt", F.pmod(F.xxhash64("point_id"), F.lit(salts).cast("long"))).hint("merge").join(copies, ["cluster_id", "salt"]) if not fits(centre) else labelled.join(F.broadcast(centre), "cluster_id").withColumn("salt", F.pmod(F.xxhash64("point_id"), F.lit(salts).cast("long")))
+    far = far.select("cluster_id", "size", "point_id", d.alias("d"), "salt")
     order = [F.col("d"), F.col("point_id")]
     first = far.withColumn("r", F.row_number().over(Window.partitionBy("cluster_id", "salt").orderBy(*order))).filter(F.col("r") <= members)
     best = first.withColumn("r", F.row_number().over(Window.partitionBy("cluster_id").orderBy(*order))).filter(F.col("r") <= members)
@@ -274,49 +282,77 @@ def similarity_clusters(df: DataFrame, clusters: int | None = None, dim: int = 1
     return out.join(F.broadcast(first), "cluster_id").select(F.col("first").alias("cluster_id"), "size", "typical")
 
 
-def _grouped_clusters(groups: DataFrame, dim: int, threshold: float, max_leaves: int, limit: float, chunk: int = CHUNK) -> DataFrame:
-    """(cluster_id, point_id, x): Ward clusters within each group, named after their smallest point; chunks of a group build trees of their own."""
+def leaves_by_cell(points: DataFrame, sizes: DataFrame, dim: int, threshold: float, max_leaves: int, limit: float, chunk: int = CHUNK, fan_in: int = 16) -> DataFrame:
+    """(cell, label, c), staged: centroids of the cluster-feature leaves of each cell with their Ward clusters up to ``limit`` between centroids.
+
+    ``points`` are (cell, point_id, x), ``sizes`` staged (cell, size). Chunks of a cell build trees of their own, which are
+    merged ``fan_in`` at a time, so that no task holds more than a chunk or so many trees of at most ``max_leaves`` leaves.
+    """
+
+    def rows(tree: CFTree, cell: int, bucket: int) -> pd.DataFrame:
+        k = len(tree.n)
+        return pd.DataFrame({"cell": np.full(k, cell), "bucket": np.full(k, bucket, np.int32), "n": tree.n, "ls": pd.Series(list(tree.ls), dtype=object), "ss": tree.ss})
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("point_id")
         tree, x = CFTree(dim, threshold, max_leaves), _stack(pdf["x"])
         tree.insert(np.ones(len(x)), x, (x * x).sum(1))
-        return pd.DataFrame({"grp": np.full(len(tree.n), pdf["grp"].iloc[0]), "salt": np.full(len(tree.n), pdf["salt"].iloc[0], np.int32), "n": tree.n, "ls": pd.Series(list(tree.ls), dtype=object), "ss": tree.ss})
+        return rows(tree, pdf["cell"].iloc[0], pdf["bucket"].iloc[0])
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree, chunks = CFTree(dim, threshold, max_leaves), int(pdf["salt"].max()) + 1
-        pdf = pdf.sort_values(["n", "salt"], ascending=[False, True], kind="stable")
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["bucket"].nunique() == 1:
+            return pdf.assign(bucket=(pdf["bucket"] // fan_in).astype(np.int32))
+        pdf = pdf.sort_values(["n", "bucket"], ascending=[False, True], kind="stable")
+        tree = CFTree(dim, threshold, max_leaves)
         tree.insert(pdf["n"].to_numpy(), _stack(pdf["ls"]), pdf["ss"].to_numpy())
-        c = tree.ls / tree.n[:, None]
-        label = ward(tree.n, c, 1, limit)
-        return pd.DataFrame({"grp": np.full(len(c), pdf["grp"].iloc[0]), "label": label.astype(np.int32), "c": pd.Series(list(c), dtype=object), "chunks": np.full(len(c), chunks, np.int32)})
+        return rows(tree, pdf["cell"].iloc[0], pdf["bucket"].iloc[0] // fan_in)
+
+    def agglomerate(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, c = pdf["n"].to_numpy(), _stack(pdf["ls"]) / pdf["n"].to_numpy()[:, None]
+        order = np.lexsort(c.T[::-1])
+        n, c = n[order], c[order]
+        return pd.DataFrame({"cell": np.full(len(c), pdf["cell"].iloc[0]), "label": ward(n, c, 1, limit).astype(np.int32), "c": pd.Series(list(c), dtype=object)})
+
+    schema = "cell long, bucket int, n double, ls array<double>, ss double"
+    salted = _salted(points, sizes, chunk, "bucket").select("cell", "bucket", "point_id", "x")
+    leaves = materialize(salted.groupBy("cell", "bucket").applyInPandas(build, schema), "leaves")
+    width = (leaves.agg(F.max("bucket")).first()[0] or 0) + 1
+    while width > 1:
+        leaves = leaves.groupBy("cell", (F.col("bucket") / fan_in).cast("int").alias("group")).applyInPandas(merge, schema)
+        width = -(-width // fan_in)
+    return materialize(leaves.groupBy("cell").applyInPandas(agglomerate, "cell long, label int, c array<double>"), "leaves")
+
+
+def _salted(rows: DataFrame, sizes: DataFrame, chunk: int, name: str = "salt", by: str = "point_id") -> DataFrame:
+    """Rows with the chunk of their cell that they fall into, of as many as the cell's size asks for."""
+    n = F.ceil(F.col("size") / chunk)
+    return join_checked(rows, sizes, "cell").withColumn(name, F.pmod(F.xxhash64(by), n.cast("long")).cast("int")).drop("size")
+
+
+def _with_leaves(rows: DataFrame, leaves: DataFrame, sizes: DataFrame, chunk: int, by: str, run, schema: str) -> DataFrame:
+    """``run`` (rows, leaves) of each chunk of each cell, the cell's leaves going to all its chunks."""
+    copies = join_checked(leaves, sizes, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / chunk).cast("int") - 1))).drop("size")
+
+    def some(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        return run(own, others) if len(own) and len(others) else pd.DataFrame()
+
+    return _salted(rows, sizes, chunk, by=by).groupBy("cell", "salt").cogroup(copies.groupBy("cell", "salt")).applyInPandas(some, schema)
+
+
+def _grouped_clusters(groups: DataFrame, dim: int, threshold: float, max_leaves: int, limit: float, chunk: int = CHUNK) -> DataFrame:
+    """(cluster_id, point_id, x): Ward clusters within each group, named after their smallest point."""
 
     def nearest(points: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
-        x, c, label = _stack(points["x"]), _stack(leaves["c"]), leaves["label"].to_numpy()
-        leaf = np.concatenate([_squares(x[i : i + 2000], c).argmin(1) for i in range(0, len(x), 2000)])
-        return points[["grp", "point_id", "x"]].assign(label=label[leaf])
-
-    groups = materialize(groups.withColumnRenamed("cluster_id", "grp"), "groups")
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("size"))
-    salt = F.pmod(F.xxhash64("point_id"), F.ceil(F.col("size") / chunk)).cast("int").alias("salt")
-    salted = groups.join(sizes.filter("size > 1"), "grp").select("grp", salt, "point_id", "x")
-    alone = groups.join(sizes.filter("size = 1"), "grp", "left_semi").select(F.col("grp").alias("cluster_id"), "point_id", "x")
-    leaves = salted.groupBy("grp", "salt").applyInPandas(build, "grp long, salt int, n double, ls array<double>, ss double")
-    leaves = materialize(leaves.groupBy("grp").applyInPandas(join, "grp long, label int, c array<double>, chunks int"), "leaves")
-    copies = leaves.select("grp", "label", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("salt"))
-    labelled = salted.groupBy("grp", "salt").cogroup(copies.groupBy("grp", "salt")).applyInPandas(_nonempty(nearest), "grp long, point_id long, x array<double>, label int")
-    labelled = materialize(labelled, "labelled")
-    first = labelled.groupBy("grp", "label").agg(F.min("point_id").alias("cluster_id"))
-    return materialize(labelled.join(first, ["grp", "label"]).select("cluster_id", "point_id", "x").union(alone), "clusters")
-
-
-def _nonempty(f):
-    """``f`` of cogrouped chunks where a chunk may hold no points."""
-
-    def run(points: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
-        return f(points, leaves) if len(points) else points[["grp", "point_id", "x"]].assign(label=np.zeros(0, np.int32))
+        return points[["cell", "point_id", "x"]].assign(label=leaves["label"].to_numpy()[_nearest(_stack(points["x"]), _stack(leaves["c"]))])
 
-    return run
+    groups = materialize(groups.withColumnRenamed("cluster_id", "cell"), "groups")
+    sizes = materialize(groups.groupBy("cell").agg(F.count("*").alias("size")), "sizes")
+    several = sizes.filter("size > 1")
+    alone = join_checked(groups, sizes.filter("size = 1").select("cell"), "cell", "left_semi").select(F.col("cell").alias("cluster_id"), "point_id", "x")
+    leaves = leaves_by_cell(groups, several, dim, threshold, max_leaves, limit, chunk)
+    labelled = materialize(_with_leaves(groups, leaves, several, chunk, "point_id", nearest, "cell long, point_id long, x array<double>, label int"), "labelled")
+    first = materialize(labelled.groupBy("cell", "label").agg(F.min("point_id").alias("cluster_id")), "firsts")
+    return materialize(join_checked(labelled, first, ["cell", "label"]).select("cluster_id", "point_id", "x").union(alone), "clusters")
 
 
 def _within(a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
@@ -339,25 +375,65 @@ def _cover(limit: float):
             near = _within(x[left], x[left[:1]], limit)[:, 0]
             near[0] = True
             left = left[~near]
-        return pdf.iloc[picked][["leaf", "point_id", "x"]].rename(columns={"point_id": "anchor"})
+        return pdf.iloc[picked][["cell", "point_id", "x"]].rename(columns={"point_id": "anchor"})
 
     return run
 
 
-def _spread(pivots: np.ndarray, reach: float):
-    """Copies of each anchor for all cells whose points may be within ``reach`` of it."""
+def _anchors(cells: DataFrame, sizes: DataFrame, limit: float, chunk: int, rounds: int = NET_ROUNDS) -> DataFrame:
+    """(cell, anchor, x), staged: anchors of each cell such that every point is within ``limit`` of one of its cell.
+
+    Large cells take their anchors from one chunk; only points that these don't cover go on, so that anchors are as many
+    as the cell's extent needs, and not as its chunks. What is left after some rounds is sparse, and its chunks pick anchors of
+    their own.
+    """
+    schema, cover = "cell long, anchor long, x array<double>", _cover(limit)
+    small = join_checked(cells, sizes.filter(F.col("size") <= chunk).select("cell"), "cell", "left_semi")
+    found = small.groupBy("cell").applyInPandas(cover, schema)
+    large = sizes.filter(F.col("size") > chunk)
+    if is_empty(large):
+        return materialize(found, "anchors")
+
+    def uncovered(points: pd.DataFrame, anchors: pd.DataFrame) -> pd.DataFrame:
+        x, a = _stack(points["x"]), _stack(anchors["x"])
+        block = max(64, 4_000_000 // max(1, len(a)))
+        near = np.concatenate([_within(x[i : i + block], a, limit).any(1) for i in range(0, len(x), block)])
+        return points.loc[~near, ["cell", "point_id", "x"]]
+
+    left = join_checked(cells, large.select("cell"), "cell", "left_semi").select("cell", "point_id", "x")
+    for k in range(rounds + 1):
+        salted = materialize(_salted(left, large, chunk), "open")
+        if k == rounds:
+            found = found.union(salted.groupBy("cell", "salt").applyInPandas(cover, schema))
+            break
+        lead = materialize(salted.filter("salt = 0").groupBy("cell").applyInPandas(cover, schema), "anchors")
+        found = found.union(lead)
+        left = materialize(_with_leaves(left, lead, large, chunk, "point_id", uncovered, "cell long, point_id long, x array<double>"), "open")
+        large = materialize(left.groupBy("cell").agg(F.count("*").alias("size")), "sizes")
+        if is_empty(large):
+            break
+    return materialize(found, "anchors")
+
+
+def _reached(x: np.ndarray, pivots: np.ndarray, label: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``x`` and labels of pivots in whose Voronoi cells there may be points within ``reach``."""
+    d = _squares(x, pivots)
+    home = d.argmin(1)
+    gap = np.sqrt(_squares(pivots[home], pivots))
+    far = (d - d[np.arange(len(x)), home][:, None]) / np.maximum(2 * gap, 1e-9)
+    r, c = np.nonzero(far <= reach + 1e-6)
+    both = np.unique(np.c_[r, label[c]], axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def _spread(pivots: np.ndarray, label: np.ndarray, reach: float):
+    """Copies of each anchor for all cells (Ward clusters of leaves) that may have points within ``reach`` of it."""
 
     def run(batches):
-        gap = np.sqrt(_squares(pivots, pivots))
         for pdf in batches:
-            if not len(pdf):
-                continue
-            d = _squares(_stack(pdf["x"]), pivots)
-            home = pdf["leaf"].to_numpy()
-            own = d[np.arange(len(pdf)), home][:, None]
-            far = (d - own) / np.maximum(2 * gap[home], 1e-9)
-            r, c = np.nonzero(far <= reach + 1e-6)
-            yield pdf.iloc[r].assign(leaf=c.astype(np.int32))
+            if len(pdf):
+                r, c = _reached(_stack(pdf["x"]), pivots, label, reach)
+                yield pdf.iloc[r].assign(cell=c.astype(np.int64))
 
     return run
 
@@ -384,26 +460,13 @@ def _link(limit: float):
                 open_pairs.append(np.unique(np.c_[best[r], c], axis=0))
             links = np.unique(np.concatenate(pairs), axis=0)
             links = links[links[:, 0] != links[:, 1]]
-            root = np.arange(len(a))
-
-            def find(v):
-                while root[v] != v:
-                    root[v] = root[root[v]]
-                    v = root[v]
-                return v
-
-            kept = []
-            for u, v in links:
-                p, q = find(u), find(v)
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    kept.append((u, v))
-            if kept:
-                kept = np.array(kept)
-                out.append(np.c_[np.ones(len(kept), np.int64), ids[kept[:, 0]], ids[kept[:, 1]]])
+            top = np.arange(len(a))
+            if len(links):
+                v, root = component_roots(links[:, 0], links[:, 1])
+                top[v] = root
+                out.append(np.c_[np.ones((v != root).sum(), np.int64), ids[v[v != root]], ids[root[v != root]]])
             maybe = np.unique(np.concatenate(open_pairs), axis=0)
             if len(maybe):
-                top = np.array([find(v) for v in range(len(a))])
                 maybe = maybe[top[maybe[:, 0]] != top[maybe[:, 1]]]
                 out.append(np.c_[np.full(len(maybe), 2), ids[maybe[:, 0]], ids[maybe[:, 1]]])
         rows = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
@@ -424,10 +487,12 @@ def _meet(limit: float):
 def linked_groups(df: DataFrame, limit: float = 12.0, dim: int = 16, max_leaves: int = MAX_LEAVES, chunk: int = CHUNK) -> DataFrame:
     """(cluster_id, point_id, x) of every usable point: groups of all points linked by a chain of points at most ``limit`` apart.
 
-    ``cluster_id`` is the smallest point of the group. The leaves of the merged cluster-feature trees are the cells of a
-    full assignment pass. In chunks of each cell, however large, anchors cover all points within ``limit``. Points within ``limit`` of
-    two anchors link them for certain; anchors with points near enough that they may link are compared point by
-    point where they aren't linked yet. The groups are exact. Unusable rows are left out as in
+    ``cluster_id`` is the smallest point of the group. The trees of the partitions are merged to leaves, Ward agglomeration
+    joins leaves whose centroids are at most ``limit`` apart, and a full assignment pass puts every point into the Ward cluster
+    of its nearest leaf. Clusters of more than ``chunk`` points are divided in the same way by trees of their own. What these
+    clusters join or part wrongly is repaired exactly: anchors cover all points within ``limit``; points within ``limit``
+    of two anchors link them for certain, across clusters too; anchors with points near enough that they may link are compared
+    point by point where they aren't linked yet. Unusable rows are left out as in
     :func:`similarity_clusters`; an empty table gives no rows.
     """
     spark = df.sparkSession
@@ -435,24 +500,46 @@ def linked_groups(df: DataFrame, limit: float = 12.0, dim: int = 16, max_leaves:
     n, pivots = cf_leaves(points, dim, limit / 2, max_leaves)
     if not len(n):
         return spark.createDataFrame([], "cluster_id long, point_id long, x array<double>")
-    cells = assign(points, pivots)
-    counts = {r[0]: r[1] for r in cells.groupBy("leaf").count().collect()}  # at most max_leaves rows
-    chunks = F.element_at(F.array(*[F.lit(-(-counts.get(i, 1) // chunk)) for i in range(len(pivots))]), F.col("leaf") + 1)
-    salted = cells.withColumn("salt", F.pmod(F.xxhash64("point_id"), chunks.cast("long")).cast("int"))
-    anchors = materialize(salted.groupBy("leaf", "salt").applyInPandas(_cover(limit), "leaf int, anchor long, x array<double>"), "anchors")
-    spread = anchors.mapInPandas(_spread(pivots, 2 * limit), "leaf int, anchor long, x array<double>")
-    spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    linked = salted.groupBy("leaf", "salt").cogroup(spread.groupBy("leaf", "salt")).applyInPandas(_link(limit), "kind int, a long, b long")
+    label = ward(n, pivots, 1, limit)
+    cells = assign(points, pivots, label).select(F.col("leaf").cast("long").alias("cell"), "point_id", "x")
+    sizes = materialize(cells.groupBy("cell").agg(F.count("*").alias("size")), "sizes")
+    large = sizes.filter(F.col("size") > chunk)
+    divided = None if is_empty(large) else leaves_by_cell(cells, large, dim, limit / 2, max_leaves, limit, chunk)
+    if divided is not None:
+
+        def place(rows: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
+            at = leaves["label"].to_numpy()[_nearest(_stack(rows["x"]), _stack(leaves["c"]))]
+            return rows[["point_id", "x"]].assign(cell=rows["cell"] + (1 + at.astype(np.int64)) * len(pivots))
+
+        parts = _with_leaves(cells, divided, large, chunk, "point_id", place, "point_id long, x array<double>, cell long")
+        whole = join_checked(cells, large.select("cell"), "cell", "left_anti")
+        cells = materialize(whole.select("cell", "point_id", "x").unionByName(parts.select("cell", "point_id", "x")), "cells")
+        sizes = materialize(cells.groupBy("cell").agg(F.count("*").alias("size")), "sizes")
+    anchors = _anchors(cells, sizes, limit, chunk)
+    spread = anchors.select("anchor", "x", "cell").mapInPandas(_spread(pivots, label, 2 * limit), "anchor long, x array<double>, cell long")
+    if divided is not None:
+
+        def go_on(rows: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
+            i, c = _reached(_stack(rows["x"]), _stack(leaves["c"]), leaves["label"].to_numpy(), 2 * limit)
+            return rows.iloc[i][["anchor", "x"]].assign(cell=rows["cell"].to_numpy()[i] + (1 + c.astype(np.int64)) * len(pivots))
+
+        spread = materialize(spread, "spread")
+        arrived = materialize(join_checked(spread, large.select("cell"), "cell", "left_semi").groupBy("cell").agg(F.count("*").alias("size")), "arrived")
+        below = _with_leaves(spread, divided, arrived, chunk, "anchor", go_on, "anchor long, x array<double>, cell long")
+        spread = join_checked(spread, large.select("cell"), "cell", "left_anti").unionByName(below)
+    salted = _salted(cells, sizes, chunk)
+    spread = join_checked(spread, sizes, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / chunk).cast("int") - 1))).drop("size")
+    linked = salted.groupBy("cell", "salt").cogroup(spread.groupBy("cell", "salt")).applyInPandas(_link(limit), "kind int, a long, b long")
     linked = materialize(linked, "linked")
     labels = linked.filter("kind = 0").select(F.col("a").alias("point_id"), F.col("b").alias("anchor"))
-    parts = anchors.select("anchor").union(labels.select("anchor")).distinct()
+    anchors_only = anchors.select("anchor").union(labels.select("anchor")).distinct()
     certain = linked.filter("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     comps = connected_components(certain)
-    comps = materialize(parts.join(comps, parts["anchor"] == comps["vertex"], "left").select("anchor", F.coalesce("component", "anchor").alias("part")), "parts")
+    comps = materialize(anchors_only.join(comps, anchors_only["anchor"] == comps["vertex"], "left").select("anchor", F.coalesce("component", "anchor").alias("part")), "parts")
     maybe = linked.filter("kind = 2").select("a", "b").distinct()
     maybe = maybe.join(comps.select(F.col("anchor").alias("a"), F.col("part").alias("src")), "a").join(comps.select(F.col("anchor").alias("b"), F.col("part").alias("dst")), "b").filter("src <> dst")
     maybe = materialize(maybe, "maybe")
-    if not maybe.isEmpty():
+    if not is_empty(maybe):
         comps = materialize(_joined(maybe, comps, cells, labels, anchors, limit), "parts")
     parted = labels.join(comps, "anchor").join(cells.select("point_id", "x"), "point_id")
     parted = materialize(parted.select("part", "point_id", "x"), "parted")

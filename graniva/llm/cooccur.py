@@ -185,7 +185,7 @@ def cooccurring_items(df: DataFrame, basket: str = "user_id", item: str = "busin
     ties = ranked.groupBy("log_p").agg(F.max("rank").alias("rank"))
     ties = materialize(ties.withColumn("log_q", F.least(F.col("log_p") + F.lit(math.log10(tests)) - F.log10("rank"), F.lit(0.0))), "ranks")
     cut = ties.filter(F.col("log_q") <= math.log10(alpha)).agg(F.max("log_p")).first()[0]
-    scored = join_checked(ranked.select("n1", "n2", "n12", "expected", "log_p"), ties.select("log_p", "log_q"), "log_p", rows=ties.count())
+    scored = join_checked(ranked.select("n1", "n2", "n12", "expected", "log_p"), ties.select("log_p", "log_q"), "log_p")
     k = scored.select(F.col("n1").alias("lo"), F.col("n2").alias("hi"), "n12", "expected", "log_p", "log_q")
     out = pairs.withColumn("lo", lo).withColumn("hi", hi).join(k, ["lo", "hi", "n12"])
     return out.select(

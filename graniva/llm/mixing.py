@@ -5,12 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graniva.llm.encode import TOKENIZER, token_counts
-from graniva.plans.stage import materialize, running_total
+from graniva.plans.stage import join_checked, materialize, running_total
+
+
+#: Blocks that the splitting tree deals at most, as the draws take counts below 10^9; blocks of more items are longer.
+MOST_BLOCKS = 500_000_000
 
 
 @dataclass
@@ -54,6 +59,19 @@ def plan_quotas(targets: list[tuple[str, float, int]], available: dict[str, int]
     return [Quota(s, share, r, a, float(given.get(s, 0.0))) for s, share, r, a in rows]
 
 
+def _deal(counts: np.ndarray, start: np.ndarray, lo: int, hi: int, seed: int, leaf: int = 1):
+    """Nodes (lo, hi, start, counts) of the splitting tree with at most ``leaf`` shards; ``start`` numbers a source's blocks before the node."""
+    if hi - lo <= leaf:
+        yield lo, hi, start, counts
+        return
+    mid = (lo + hi) // 2
+    rng = np.random.default_rng([seed, lo, hi])
+    n = int(counts.sum()) * (mid - lo) // (hi - lo)
+    left = rng.multivariate_hypergeometric(counts, n, method="marginals") if n else np.zeros_like(counts)
+    yield from _deal(left, start, lo, mid, seed, leaf)
+    yield from _deal(counts - left, start + left, mid, hi, seed, leaf)
+
+
 def split_blocks(blocks: list[int], shards: int, seed: int) -> np.ndarray:
     """Blocks of each source for each shard (shards × sources): a splitting tree of multivariate hypergeometric draws.
 
@@ -61,23 +79,31 @@ def split_blocks(blocks: list[int], shards: int, seed: int) -> np.ndarray:
     by at most one block per level in size and all counts add up.
     """
     out = np.zeros((shards, len(blocks)), np.int64)
-
-    def go(counts: np.ndarray, lo: int, hi: int) -> None:
-        if hi - lo == 1:
-            out[lo] = counts
-            return
-        mid = (lo + hi) // 2
-        rng = np.random.default_rng([seed, lo, hi])
-        n = int(counts.sum()) * (mid - lo) // (hi - lo)
-        left = rng.multivariate_hypergeometric(counts, n, method="marginals") if n else np.zeros_like(counts)
-        go(left, lo, mid)
-        go(counts - left, mid, hi)
-
     if shards and blocks:
-        go(np.array(blocks, np.int64), 0, shards)
+        for lo, _, _, counts in _deal(np.array(blocks, np.int64), np.zeros(len(blocks), np.int64), 0, shards, seed):
+            out[lo] = counts
     return out
 
 
+def dealt_spans(spark: SparkSession, sources: list[str], blocks: list[int], shards: int, seed: int, top: int = 1024) -> DataFrame:
+    """(source, shard, lo, hi), staged: the blocks lo up to hi of each source that go to a shard.
+
+    The driver splits the tree down to about ``top`` nodes; tasks split these further by the same draws.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for node in pdf.itertuples(index=False):
+                for shard, _, start, counts in _deal(np.array(node.counts, np.int64), np.array(node.start, np.int64), node.lo, node.hi, seed):
+                    rows += [(sources[k], shard, int(start[k]), int(start[k] + counts[k])) for k in np.flatnonzero(counts)]
+            yield pd.DataFrame(rows, columns=["source", "shard", "lo", "hi"])
+
+    nodes = _deal(np.array(blocks, np.int64), np.zeros(len(blocks), np.int64), 0, shards, seed, -(-shards // top)) if blocks else ()
+    rows = [(int(lo), int(hi), start.tolist(), counts.tolist()) for lo, hi, start, counts in nodes]
+    return materialize(spark.createDataFrame(rows, "lo int, hi int, start array<long>, counts array<long>").mapInPandas(run, "source string, shard int, lo long, hi long"), "spans")
+
+
 def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", *, total_tokens: float | None = None, shards: int | None = None, shard_documents: int = 5_000, block: int = 16, seed: int = 17, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """The mixture (shard, position, doc_id, source, copy, n_tokens), and its report by source.
 
@@ -126,18 +152,15 @@ def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", sou
     counts = {r[0]: r[1] for r in items.groupBy("source").count().collect()}
     used = [s for s in names if counts.get(s)]
     n = shards or max(1, -(-sum(counts.values()) // shard_documents))
+    block = max(block, -(-sum(counts.values()) // MOST_BLOCKS))
     blocks = [-(-counts[s] // block) for s in used]
-    deal = split_blocks(blocks, n, seed)
-    ends = np.cumsum(deal, axis=0)  # of each source: the blocks below ends[i] and not below ends[i-1] go to shard i
+    spans = dealt_spans(spark, used, blocks, n, seed)
     first = dict(zip(used, np.r_[0, np.cumsum([counts[s] for s in used])][:-1].tolist()))
-    ranges = [(s, int(a), int(b), i) for k, s in enumerate(used) for i, (a, b) in enumerate(zip(np.r_[0, ends[:-1, k]], ends[:, k])) if b > a]
-    dealt = spark.createDataFrame([(s, b, i) for s, a, e, i in ranges for b in range(a, e)], "source string, block long, shard int") if sum(blocks) <= 200_000 else None
+    width = lookup({s: max(1, -(-b // n)) for s, b in zip(used, blocks)}, "long")
+    # an equi-join by stretches of about one span's length: a span lies in few stretches, and no source is a key by itself
+    spans = materialize(spans.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width)))), "stretches")
     at = items.withColumn("block", F.floor((F.col("rank") - 1 - lookup(first, "long")) / block))
-    if dealt is not None:
-        at = at.join(F.broadcast(dealt), ["source", "block"])
-    else:  # one row for each source and shard
-        spans = F.broadcast(spark.createDataFrame(ranges, "source string, lo long, hi long, shard int"))
-        at = at.join(spans, "source").filter("block >= lo and block < hi")
+    at = join_checked(at.withColumn("stretch", F.floor(F.col("block") / width)), spans, ["source", "stretch"]).filter("block >= lo and block < hi")
     place = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id", "copy"), "doc_id", "copy"))
     mixture = at.select("shard", place.alias("position"), "doc_id", "source", "copy", "n_tokens")
 

@@ -79,8 +79,7 @@ def similar_sets(df: DataFrame, set_col: str, token_col: str, threshold: float =
         small += 1
     # where c is so low that nearly all sets would meet, the inverted lists are the better way for every size
     small = small if c > 1 else 0
-    n_reps = reps.count()
-    kept = join_checked(rows, reps.select("set_id", "side", "id", F.col("size").cast("int").alias("n")), ["set_id", "side"], rows=n_reps)
+    kept = join_checked(rows, reps.select("set_id", "side", "id", F.col("size").cast("int").alias("n")), ["set_id", "side"])
     kept = materialize(kept.select("k1", "k2", "id", "n", *(["side"] if two else [])), "kept")
 
     found = []
@@ -90,7 +89,7 @@ def similar_sets(df: DataFrame, set_col: str, token_col: str, threshold: float =
     found.append(_listed_pairs(kept, t, small, two, hot_token))
     links = found[0] if len(found) == 1 else found[0].union(found[1])
     for i in (1, 2):
-        links = join_checked(links, reps.select(F.col("id").alias(f"id{i}"), F.col("set_id").alias(f"s{i}"), F.col("side").alias(f"side{i}")), f"id{i}", rows=n_reps)
+        links = join_checked(links, reps.select(F.col("id").alias(f"id{i}"), F.col("set_id").alias(f"s{i}"), F.col("side").alias(f"side{i}")), f"id{i}")
     swap = (F.col("side1") > F.col("side2")) | ((F.col("side1") == F.col("side2")) & (F.col("s1") > F.col("s2")))
     pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
     links = links.select(pick("s1", "s2").alias("class_1"), pick("s2", "s1").alias("class_2"), "similarity", pick("side1", "side2").alias("side_1"), pick("side2", "side1").alias("side_2"))
@@ -107,8 +106,7 @@ def _small_pairs(elements: DataFrame, t: float, c: int, least: int, most: int, t
     fits_size = (F.least("n1", "n2") >= F.greatest("n1", "n2") * t - 1e-9) & (F.col("side1") != F.col("side2") if two else F.lit(True))
     met = pair_up(subsets, ["subset"], "id", ["n", *side]).filter(fits_size).select("id1", "id2").distinct()
     e1, e2 = (elements.select(F.col("id").alias(f"id{i}"), F.col("n").alias(f"n{i}"), F.col("e").alias(f"e{i}")) for i in (1, 2))
-    n = elements.count()
-    both = join_checked(join_checked(met, e1, "id1", rows=n), e2, "id2", rows=n)
+    both = join_checked(join_checked(met, e1, "id1"), e2, "id2")
     both = both.withColumn("k", F.size(F.array_intersect("e1", "e2")))
     return both.withColumn("similarity", F.col("k") / (F.col("n1") + F.col("n2") - F.col("k"))).filter(F.col("similarity") >= t - 1e-12).select("id1", "id2", "similarity")
 

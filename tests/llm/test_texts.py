@@ -169,6 +169,21 @@ def test_typed_values(typed, want):
     assert Matcher(NAMES)(typed)[0] == want
 
 
+PROBES = [(1, "Krieoska"), (2, "Krieoskb"), (3, "West Ur"), (4, "1770"), (5, "Salemar"), (6, "Saiemar"), (7, "San Jose del Monte"), (8, "Upper Kemjaholm"), (8, "Breaona"), (9, "Kemjaholm"), (10, "Lower Kemjaholm")]
+PROBED = [
+    ("Krieoskx", 0), ("West QX", 0), ("West Ur", 3), ("1770", 4), ("Krieoska 1770", 1), ("Salemar", 5), ("Saiemar", 6), ("Sa1emar", 0), ("Monte San Jose", 7), ("San Jose", 0),
+    ("Up. Kemjaholm", 8), ("Upr Kemjaholm QX", 8), ("Kemjaholm, Upper", 8), ("UpperKemjahollm", 8), ("Kemjaholm", 9), ("Brea0na 55443", 8), ("Upper Kemjaholm Airport", 8), ("Salemar Krieoska", 0),
+]
+
+
+@pytest.mark.parametrize("block", [50_000, 3, 1])
+def test_probes_have_one_answer_whatever_the_block(spark, block):
+    ref = spark.createDataFrame(PROBES, "id long, name string")
+    df = spark.createDataFrame([(t, 5) for t, _ in PROBED], "typed string, name long")
+    got = {r.typed: r.id for r in map_to_reference(df, "typed", ref, "id", "name", block=block).collect()}
+    assert got == dict(PROBED)
+
+
 @pytest.mark.parametrize("block", [50_000, 2])
 def test_mapping_of_a_table(spark, block):
     ref = spark.createDataFrame([(1, "Krieoska", ["Altname"]), (2, "Port Krieoska", None), (3, None, [None, "Third"])], "city_id long, city string, other_names array<string>")
