@@ -60,7 +60,7 @@ def assign_mahalanobis(points: DataFrame, clusters: Summary, threshold: float, k
             x = np.stack(pdf["x"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, 1))
             best, d = clusters.nearest(x) if len(pdf) else (np.zeros(0, int), np.zeros(0))
             names = np.array([*clusters.label, None], object)
-            yield pdf.assign(label=[names[b] if v < threshold else None for b, v in zip(best, d)], distance=d)
+            yield pdf.assign(label=np.where(d < threshold, names[best], None) if len(pdf) else None, distance=d)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
     return points.mapInPandas(run, f"{schema}, label {kind}, distance double")

@@ -16,7 +16,8 @@ M = 50287
 def signatures(rows: DataFrame, n_rows: int = 32) -> DataFrame:
     """(item, i, value): minima of ``n_rows`` linear hashes over the dense ids of the users of each item.
 
-    ``rows`` are distinct (item, user).
+    ``rows`` are distinct (item, user). The hashes are those of the fixed modulus P: beyond P users different ids share hashes, which
+    only adds candidates, as pairs are verified on their users.
     """
     ids = materialize(dense_ids(rows, "user", "x"), "ids")
     n = max(1, ids.count())

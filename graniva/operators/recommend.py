@@ -87,13 +87,26 @@ FLAGS = ["Caters", "RestaurantsGoodForGroups", "RestaurantsTakeOut", "Restaurant
 PHOTOS = ["food", "drink", "inside", "outside", "menu"]
 
 
+def _one_row(df: DataFrame, key: str) -> DataFrame:
+    """Of several rows of a key the largest by its other columns in their order, nulls last."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.max(F.struct(*rest)).alias("__r")).select(key, "__r.*")
+
+
+def label_counts(rows: DataFrame, key: str, label: str, labels: list[str], prefix: str = "") -> DataFrame:
+    """One row per key with the number of its rows of each of ``labels``; other and null labels count nowhere."""
+    return rows.groupBy(key).agg(*[F.count_if(F.col(label) == x).alias(f"{prefix}{x}") for x in labels])
+
+
 def features(pairs: DataFrame, ratings: DataFrame, users: DataFrame, businesses: DataFrame, tips: DataFrame, photos: DataFrame | None = None, string_false_is_false: bool = True) -> DataFrame:
     """Pairs with the numeric features of user, business, attributes, photos and tips; what is missing is 0, coordinates -1.
 
-    Repeated rows of the dimensions count once. ``string_false_is_false`` treats the texts 'False', 'None' and '' of a flag as absent.
+    A user or business with several different rows counts with the largest one in the order of its columns, so that a pair stays one row.
+    Coordinates that are NaN are missing. ``string_false_is_false`` treats the texts 'False', 'None' and '' of a flag as absent.
     """
     a = "attributes"
-    u = users.select("user_id", "average_stars", F.col("review_count").alias("user_reviews"), "useful", "funny", "cool", "fans").distinct()
+    u = users.select("user_id", "average_stars", F.col("review_count").alias("user_reviews"), "useful", "funny", "cool", "fans")
+    u = _one_row(u, "user_id")
     flags = [_flag(F.col(f"{a}.{f}"), string_false_is_false).alias(f) for f in FLAGS]
     b = businesses.select(
         "business_id", F.col("stars").alias("item_stars"), F.col("review_count").alias("item_reviews"),
@@ -102,8 +115,9 @@ def features(pairs: DataFrame, ratings: DataFrame, users: DataFrame, businesses:
         F.when(F.col(f"{a}.WiFi") == "Free", 1).otherwise(0).alias("wifi"), F.when(F.col(f"{a}.Smoking") == "yes", 1).otherwise(0).alias("smoking"),
         F.when(F.col(f"{a}.NoiseLevel") == "average", 1).when(F.col(f"{a}.NoiseLevel") == "loud", 2).otherwise(0).alias("noise"),
         *[F.coalesce(F.regexp_count(f"{a}.{f}", F.lit("True")), F.lit(0)).alias(n) for f, n in (("BusinessParking", "parking"), ("GoodForMeal", "meals"))],
-        "latitude", "longitude",
-    ).distinct()
+        *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("latitude", "longitude")],
+    )
+    b = _one_row(b, "business_id")
     tip = tips.select(trimmed("user_id").alias("user_id"), trimmed("business_id").alias("business_id"))
     user_tips = tip.groupBy("user_id").agg(F.count("*").alias("user_tips")).dropna()
     item_tips = tip.groupBy("business_id").agg(F.count("*").alias("item_tips")).dropna()
@@ -111,7 +125,7 @@ def features(pairs: DataFrame, ratings: DataFrame, users: DataFrame, businesses:
     out = pairs.join(dense_ids(ids, "user_id", "user_idx"), "user_id", "left").join(dense_ids(ids, "business_id", "item_idx"), "business_id", "left")
     out = out.join(u, "user_id", "left").join(b, "business_id", "left").join(user_tips, "user_id", "left").join(item_tips, "business_id", "left")
     if photos is not None:
-        seen = photos.groupBy("business_id").agg(*[F.count_if(F.col("label") == p).alias(f"photos_{p}") for p in PHOTOS])
+        seen = label_counts(photos, "business_id", "label", PHOTOS, "photos_")
         out = out.join(seen, "business_id", "left")
     else:
         out = out.select("*", *[F.lit(0).cast("long").alias(f"photos_{p}") for p in PHOTOS])

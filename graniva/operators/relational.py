@@ -18,9 +18,12 @@ def row_count(df: DataFrame, where: Column | None = None) -> DataFrame:
     return (df if where is None else df.filter(where)).agg(F.count("*").alias("n"))
 
 
-def in_year(moment: Column, year: int) -> Column:
-    """Year test for timestamps and for text that begins with YYYY-."""
-    return F.substring_index(moment.cast("string"), "-", 1) == str(year)
+def in_year(moment: Column, year: int, kind: str = "string") -> Column:
+    """Year test for text that begins with YYYY-, and for the date and timestamp types named by ``kind``, as a range that reaches the scan."""
+    if kind == "string":
+        return F.substring_index(moment, "-", 1) == str(year)
+    first, after = (F.lit(f"{y:04d}-01-01 00:00:00").cast(kind) for y in (year, year + 1))
+    return (moment >= first) & (moment < after)
 
 
 def distinct_count(df: DataFrame, key: Column) -> DataFrame:
@@ -32,14 +35,26 @@ def top_k(df: DataFrame, key: Column, k: int = 10, name: str = "key") -> DataFra
     return df.select(key.alias(name)).dropna().groupBy(name).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name).limit(k)
 
 
-def average_by(facts: DataFrame, dim: DataFrame, on: str, group: str, value: str, digits: int = 6) -> DataFrame:
+def average_by(facts: DataFrame, dim: DataFrame, on: str, group: str, value: str) -> DataFrame:
     """Average of ``value`` of the joined facts by a column of the dimension; repeated dimension rows multiply."""
-    return facts.join(dim, on).groupBy(group).agg(F.round(F.avg(value), digits).alias(f"avg_{value}"))
+    return facts.join(dim, on).groupBy(group).agg(F.avg(value).alias(f"avg_{value}"))
 
 
-def top_average(averages: DataFrame, group: str, value: str, k: int = 10) -> DataFrame:
-    """The ``k`` highest averages, ties by group."""
-    return averages.orderBy(F.desc(value), group).limit(k)
+def top_average(averages: DataFrame, group: str, value: str, k: int = 10, digits: int = 6) -> DataFrame:
+    """The ``k`` highest averages, ties by group; rounded after they are ranked."""
+    return averages.orderBy(F.desc(value), group).limit(k).withColumn(value, F.round(value, digits))
+
+
+def top_average_on_driver(averages: DataFrame, group: str, value: str, k: int = 10, digits: int = 6) -> DataFrame:
+    """The same with the final sort on the driver, for the comparison of both ways: tasks send their own ``k`` best rows only."""
+    from pyspark.sql.window import Window
+
+    spread = averages.withColumn("__p", F.spark_partition_id())
+    best = Window.partitionBy("__p").orderBy(F.desc(value), group)
+    rows = spread.withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= k).select(group, value).collect()
+    rows = sorted(rows, key=lambda r: (r[value] is None, -(r[value] or 0.0), (r[group] is not None, r[group] or "")))[:k]
+    out = averages.sparkSession.createDataFrame([(r[group], r[value]) for r in rows], averages.select(group, value).schema)
+    return out.withColumn(value, F.round(value, digits))
 
 
 def dense_ids(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
@@ -50,13 +65,14 @@ def dense_ids(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     return ids.withColumn(name, F.col(name) - 1)
 
 
-def partition_sizes(df: DataFrame, partitions: int, key: Column | None = None) -> DataFrame:
+def partition_sizes(df: DataFrame, partitions: int = 0, key: Column | None = None) -> DataFrame:
     """(part, n): rows of each partition, empty ones with 0.
 
-    With ``key``, rows go to partition key mod ``partitions``; else the partitions of ``df`` as they are.
+    With ``key``, rows go to partition key mod ``partitions``; else the partitions of ``df`` as they are, however many.
     """
     placed = df if key is None else df.repartitionById(partitions, F.pmod(key.cast("int"), F.lit(partitions)))
     sizes = placed.select(F.spark_partition_id().alias("part")).groupBy("part").agg(F.count("*").alias("n"))
+    partitions = partitions if key is not None else placed.rdd.getNumPartitions()
     every = df.sparkSession.range(partitions).select(F.col("id").cast("int").alias("part"))
     return every.join(sizes, "part", "left").na.fill(0)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graniva.functions.keys import trimmed
 from graniva.operators import bfr as bfr_ops
 from graniva.operators import geo, graph, itemsets, minhash, nested, recommend, relational, sketches
+from graniva.plans import io_queries
 from graniva.plans.core_sql import SQL
 from graniva.plans.stage import materialize
 from graniva.plans.tables import table
@@ -84,7 +85,7 @@ def review_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def review_count_year(spark: SparkSession, d: str) -> DataFrame:
-    return relational.row_count(table(spark, d, "tip"), relational.in_year(F.col("posted_at"), 2020))
+    return relational.row_count(table(spark, d, "tip"), relational.in_year(F.col("posted_at"), 2020, dict(table(spark, d, "tip").dtypes)["posted_at"]))
 
 
 def distinct_users(spark: SparkSession, d: str) -> DataFrame:
@@ -110,22 +111,33 @@ def _city_averages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def city_averages(spark: SparkSession, d: str) -> DataFrame:
-    return _city_averages(spark, d)
+    return _round(_city_averages(spark, d), "avg_stars")
 
 
 def city_avg_top10(spark: SparkSession, d: str) -> DataFrame:
     return relational.top_average(_city_averages(spark, d), "city", "avg_stars")
 
 
+def city_avg_top10_driver(spark: SparkSession, d: str) -> DataFrame:
+    """The ranking of city_avg_top10 with the last sort on the driver."""
+    return relational.top_average_on_driver(_city_averages(spark, d), "city", "avg_stars")
+
+
 def segment_avg_top10(spark: SparkSession, d: str) -> DataFrame:
     orders, customers = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), table(spark, d, "customer")
-    return relational.top_average(relational.average_by(orders, customers, "c_custkey", "c_mktsegment", "o_totalprice", 4), "c_mktsegment", "avg_o_totalprice")
+    return relational.top_average(relational.average_by(orders, customers, "c_custkey", "c_mktsegment", "o_totalprice"), "c_mktsegment", "avg_o_totalprice", digits=4)
 
 
 def partition_sizes(spark: SparkSession, d: str) -> DataFrame:
     return relational.partition_sizes(table(spark, d, "yelp_train").select("user_id"), 4, relational.first_code(F.col("user_id")))
 
 
+def partition_sizes_default(spark: SparkSession, d: str) -> DataFrame:
+    """(parts_with_rows, n): the partitions of a scan as they are; their number depends on the cluster, their sum doesn't."""
+    sizes = relational.partition_sizes(table(spark, d, "yelp_train").select("user_id"))
+    return sizes.agg(F.sum("n").alias("n"), F.count_if(F.col("n") < 0).alias("negative"))
+
+
 def user_ids(spark: SparkSession, d: str) -> DataFrame:
     return relational.dense_ids(table(spark, d, "yelp_train").select(trimmed("user_id").alias("user_id")), "user_id", "idx")
 
@@ -250,6 +262,40 @@ def rmse_histogram(spark: SparkSession, d: str) -> DataFrame:
     return _round(recommend.evaluate(guess, m), "rmse", "mean", "std")
 
 
+def label_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Events of each user by type, in the form in which the labels of photos are counted."""
+    return recommend.label_counts(table(spark, d, "events"), "user_id", "event_type", ["click", "error", "purchase", "signup", "view"], "n_")
+
+
+def photo_features(spark: SparkSession, d: str) -> DataFrame:
+    """Photo counts in the feature vector, with tips standing for photos: their label follows from the number of compliments."""
+    r = _ratings(spark, d)
+    label = F.element_at(F.array(*map(F.lit, recommend.PHOTOS)), (F.pmod(F.coalesce("compliment_count", F.lit(0)), F.lit(5)) + 1).cast("int"))
+    photos = table(spark, d, "tip").select(trimmed("business_id").alias("business_id"), label.alias("label"))
+    x = recommend.features(r.select("user_id", "business_id").distinct(), r, table(spark, d, "yelp_user"), table(spark, d, "business"), table(spark, d, "tip"), photos)
+    return x.select("user_id", "business_id", *[f"photos_{p}" for p in recommend.PHOTOS])
+
+
+def gbt_small_prediction(spark: SparkSession, d: str) -> DataFrame:
+    """The model on six features: indexes, averages and review counts of user and business."""
+    x = materialize(_features(spark, d), "features")
+    train = x.join(recommend.rating_matrix(_ratings(spark, d)), ["user_id", "business_id"])
+    return recommend.gbt_predictions(train, x, recommend.SMALL_VECTOR).select("user_id", "business_id", "prediction")
+
+
+def hybrid_small_prediction(spark: SparkSession, d: str) -> DataFrame:
+    """0.2 of the item-based prediction and 0.8 of the small model's."""
+    r = _ratings(spark, d)
+    return recommend.blend(recommend.item_predictions(r, r), gbt_small_prediction(spark, d), 0.2)
+
+
+def blend_check(spark: SparkSession, d: str) -> DataFrame:
+    """The blend of two predictions that SQL can follow: 0.2 of the item-based one and 0.8 of the fallback."""
+    r = _ratings(spark, d)
+    guess = recommend.fallback(r.select("user_id", "business_id").distinct(), r).withColumnRenamed("fallback", "prediction")
+    return _round(recommend.blend(recommend.item_predictions(r, r), guess, 0.2), "prediction")
+
+
 def gbt_prediction(spark: SparkSession, d: str) -> DataFrame:
     """The model-based prediction of every rated pair."""
     x = materialize(_features(spark, d), "features")
@@ -356,6 +402,17 @@ def bfr(spark: SparkSession, d: str) -> DataFrame:
     return bfr_ops.bfr(materialize(_points(spark, d), "points"), 10, 16)[0]
 
 
+def bfr_round_totals(spark: SparkSession, d: str) -> DataFrame:
+    """(round, points): all points seen so far are in discard, compression or retained sets after each round."""
+    report = bfr_ops.bfr(materialize(_points(spark, d), "points"), 10, 16)[1]
+    return report.select("round", (F.col("ds_points") + F.col("cs_points") + F.col("rs_points")).alias("points"))
+
+
+def bfr_points(spark: SparkSession, d: str) -> DataFrame:
+    """The points that come out with a label, once each."""
+    return bfr_ops.bfr(materialize(_points(spark, d), "points"), 10, 16)[0].select("point_id")
+
+
 def bfr_rounds(spark: SparkSession, d: str) -> DataFrame:
     return bfr_ops.bfr(materialize(_points(spark, d), "points"), 10, 16)[1]
 
@@ -363,7 +420,7 @@ def bfr_rounds(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All functions of this module that take (spark, folder)."""
     own = {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__}
-    return {k: f for k, f in own.items() if not k.startswith("_") and k not in ("queries", "oracle_sql")}
+    return {k: f for k, f in own.items() if not k.startswith("_") and k not in ("queries", "oracle_sql")} | io_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:

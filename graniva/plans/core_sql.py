@@ -129,6 +129,7 @@ _U = _thrice(40014, 12345, 2147483563) + " / 2147483563.0"
 _SLOT = _thrice(40692, 54321, 2147483399) + " // 1000 % 100"
 _FLAGS = "Caters RestaurantsGoodForGroups RestaurantsTakeOut RestaurantsDelivery RestaurantsReservations GoodForKids BusinessAcceptsCreditCards"
 _FLAG_SQL = ", ".join(f"CASE WHEN attributes.{f} IS NOT NULL AND lower(attributes.{f}) NOT IN ('false', 'none', '') THEN 1 ELSE 0 END AS {f}" for f in _FLAGS.split())
+_ITEM_ORDER = ", ".join(f"{c} DESC NULLS LAST" for c in ["item_stars", "item_reviews", "Alcohol", *_FLAGS.split(), "price", "wifi", "smoking", "noise", "parking", "meals", "latitude", "longitude"])
 _VECTORS = "WITH v AS (SELECT vec_id AS point_id, label::VARCHAR AS cluster, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS dim FROM embeddings), s AS (SELECT cluster, dim, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM v GROUP BY 1, 2)"
 
 SQL = {
@@ -140,8 +141,9 @@ SQL = {
     "top10_users": "SELECT trim(user_id, ' ') AS user_id, count(*) AS n FROM yelp_train WHERE trim(user_id, ' ') <> '' GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10",
     "top10_items": "SELECT trim(business_id, ' ') AS business_id, count(*) AS n FROM yelp_train WHERE trim(business_id, ' ') <> '' GROUP BY 1 ORDER BY n DESC, business_id LIMIT 10",
     "city_averages": _RATINGS + " SELECT city, round(avg(stars), 6) AS avg_stars FROM q JOIN (SELECT DISTINCT business_id, city FROM business WHERE city IS NOT NULL) USING (business_id) GROUP BY city",
-    "city_avg_top10": _RATINGS + " SELECT city, round(avg(stars), 6) AS avg_stars FROM q JOIN (SELECT DISTINCT business_id, city FROM business WHERE city IS NOT NULL) USING (business_id) GROUP BY city ORDER BY avg_stars DESC, city LIMIT 10",
-    "segment_avg_top10": "SELECT c_mktsegment, round(avg(o_totalprice), 4) AS avg_o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "city_avg_top10": _RATINGS + " SELECT city, round(avg(stars), 6) AS avg_stars FROM q JOIN (SELECT DISTINCT business_id, city FROM business WHERE city IS NOT NULL) USING (business_id) GROUP BY city ORDER BY avg(stars) DESC, city LIMIT 10",
+    "segment_avg_top10": "SELECT c_mktsegment, round(avg(o_totalprice), 4) AS avg_o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 ORDER BY avg(o_totalprice) DESC, 1 LIMIT 10",
+    "partition_sizes_default": "SELECT count(*) AS n, 0::BIGINT AS negative FROM yelp_train",
     "partition_sizes": "SELECT p::INTEGER AS part, count(y.user_id) FILTER (WHERE true) + count(*) FILTER (WHERE y.k IS NOT NULL AND y.user_id IS NULL) AS n FROM range(4) t(p) LEFT JOIN (SELECT user_id, coalesce(CASE WHEN user_id = '' THEN 0 ELSE unicode(user_id) END, 0) % 4 AS k FROM yelp_train) y ON k = p GROUP BY 1",
     "user_ids": "SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS idx FROM (SELECT DISTINCT trim(user_id, ' ') AS user_id FROM yelp_train WHERE trim(user_id, ' ') <> '')",
     "clean_concat_keys": "SELECT o_orderkey, ltrim(strftime(o_orderdate, '%Y-%m-%d'), '0') || '-' || ltrim(o_custkey::VARCHAR, '0') AS basket FROM orders",
@@ -188,17 +190,18 @@ SELECT count(*) AS n, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(g), 6) AS me
     "feature_vector": _RATINGS
     + f""", ui AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS user_idx FROM (SELECT DISTINCT user_id FROM q)
 ), ii AS (SELECT business_id, row_number() OVER (ORDER BY business_id) - 1 AS item_idx FROM (SELECT DISTINCT business_id FROM q)
-), us AS (SELECT DISTINCT user_id, average_stars, review_count AS user_reviews, useful, funny, cool, fans FROM yelp_user
-), bs AS (SELECT DISTINCT business_id, stars AS item_stars, review_count AS item_reviews, CASE WHEN attributes.Alcohol IS NOT NULL THEN 1 ELSE 0 END AS Alcohol, {_FLAG_SQL},
+), us AS (SELECT user_id, average_stars, review_count AS user_reviews, useful, funny, cool, fans FROM yelp_user QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY average_stars DESC NULLS LAST, review_count DESC NULLS LAST, useful DESC NULLS LAST, funny DESC NULLS LAST, cool DESC NULLS LAST, fans DESC NULLS LAST) = 1
+), b0 AS (SELECT business_id, stars AS item_stars, review_count AS item_reviews, CASE WHEN attributes.Alcohol IS NOT NULL THEN 1 ELSE 0 END AS Alcohol, {_FLAG_SQL},
     coalesce(TRY_CAST(attributes.RestaurantsPriceRange2 AS INTEGER), 0) AS price, CASE WHEN attributes.WiFi = 'Free' THEN 1 ELSE 0 END AS wifi, CASE WHEN attributes.Smoking = 'yes' THEN 1 ELSE 0 END AS smoking,
     CASE attributes.NoiseLevel WHEN 'average' THEN 1 WHEN 'loud' THEN 2 ELSE 0 END AS noise,
     coalesce((length(attributes.BusinessParking) - length(replace(attributes.BusinessParking, 'True', ''))) // 4, 0)::INTEGER AS parking,
-    coalesce((length(attributes.GoodForMeal) - length(replace(attributes.GoodForMeal, 'True', ''))) // 4, 0)::INTEGER AS meals, latitude, longitude FROM business
+    coalesce((length(attributes.GoodForMeal) - length(replace(attributes.GoodForMeal, 'True', ''))) // 4, 0)::INTEGER AS meals, CASE WHEN NOT isnan(latitude) THEN latitude END AS latitude, CASE WHEN NOT isnan(longitude) THEN longitude END AS longitude FROM business
+), bs AS (SELECT * FROM b0 QUALIFY row_number() OVER (PARTITION BY business_id ORDER BY {_ITEM_ORDER}) = 1
 ), ut AS (SELECT trim(user_id, ' ') AS user_id, count(*) AS user_tips FROM tip GROUP BY 1
 ), it AS (SELECT trim(business_id, ' ') AS business_id, count(*) AS item_tips FROM tip GROUP BY 1)
 SELECT user_id, business_id, user_idx, item_idx, coalesce(average_stars, 0) AS average_stars, coalesce(user_reviews, 0) AS user_reviews, coalesce(useful, 0) AS useful, coalesce(funny, 0) AS funny, coalesce(cool, 0) AS cool,
   coalesce(fans, 0) AS fans, coalesce(item_stars, 0) AS item_stars, coalesce(item_reviews, 0) AS item_reviews, {", ".join(f"coalesce({f}, 0) AS {f}" for f in ["Alcohol", *_FLAGS.split(), "price", "wifi", "smoking", "noise", "parking", "meals"])},
-  coalesce(CASE WHEN isnan(latitude) THEN 0 ELSE latitude END, -1) AS latitude, coalesce(CASE WHEN isnan(longitude) THEN 0 ELSE longitude END, -1) AS longitude, coalesce(user_tips, 0) AS user_tips, coalesce(item_tips, 0) AS item_tips,
+  coalesce(latitude, -1) AS latitude, coalesce(longitude, -1) AS longitude, coalesce(user_tips, 0) AS user_tips, coalesce(item_tips, 0) AS item_tips,
   {", ".join(f"0::BIGINT AS photos_{p}" for p in ("food", "drink", "inside", "outside", "menu"))}
 FROM m JOIN ui USING (user_id) JOIN ii USING (business_id) LEFT JOIN us USING (user_id) LEFT JOIN bs USING (business_id) LEFT JOIN ut USING (user_id) LEFT JOIN it USING (business_id)""",
     "cooccurrence_edges": _EDGES + " SELECT src, dst, common FROM e",
@@ -247,3 +250,72 @@ WITH b AS (
 SELECT DISTINCT a.business_id AS business_id_1, b.business_id AS business_id_2 FROM b a JOIN b ON a.business_id < b.business_id AND abs(a.y - b.y) < 0.001
 WHERE 2 * 6371008.8 * asin(least(1, sqrt(sin(radians(b.y - a.y) / 2) ** 2 + cos(radians(a.y)) * cos(radians(b.y)) * sin(radians(b.x - a.x) / 2) ** 2))) <= 100""",
 }
+SQL["city_avg_top10_driver"] = SQL["city_avg_top10"]
+
+_PLACES = """
+WITH b AS (
+  SELECT DISTINCT business_id, latitude AS y, CASE WHEN longitude = -180 THEN 180 ELSE longitude END AS x FROM business
+  WHERE business_id IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND NOT isnan(latitude) AND NOT isnan(longitude)
+    AND abs(latitude) <= 90 AND abs(longitude) <= 180 AND NOT (latitude = 0 AND longitude = 0)
+), p AS (SELECT y, x, min(business_id) AS place_id FROM b GROUP BY y, x
+), n AS (
+  SELECT a.y, a.x, count(*) AS n_near FROM p a JOIN p c ON (a.y, a.x) <> (c.y, c.x) AND abs(a.y - c.y) < 0.001
+  WHERE 2 * 6371008.8 * asin(least(1, sqrt(sin(radians(c.y - a.y) / 2) ** 2 + cos(radians(a.y)) * cos(radians(c.y)) * sin(radians(c.x - a.x) / 2) ** 2))) <= 100
+  GROUP BY a.y, a.x)"""
+_USABLE = "features IS NOT NULL AND len(features) = 16 AND len(list_filter(features, lambda v: v IS NULL OR isnan(v))) = 0"
+_PHOTOS = "food drink inside outside menu".split()
+
+SQL |= {
+    "p4_places": _PLACES + " SELECT business_id, place_id, coalesce(n_near, 0) AS n_near FROM b JOIN p USING (y, x) LEFT JOIN n USING (y, x)",
+    "lsh_quality": _BUCKETS
+    + _COMMON
+    + """, t AS (SELECT item_1, item_2 FROM sim WHERE s >= 0.5), f AS (SELECT * FROM t JOIN cand USING (item_1, item_2))
+SELECT (SELECT count(*) FROM f) / nullif((SELECT count(*) FROM f), 0) AS precision, (SELECT count(*) FROM f) / nullif((SELECT count(*) FROM t), 0) AS recall""",
+    # shortest paths by breadth-first steps, then every edge's share of the paths between all pairs of ends
+    "edge_betweenness": _EDGES.replace("WITH r", "WITH RECURSIVE r", 1)
+    + """, w AS (
+  SELECT vertex AS root, vertex AS v, 0 AS d FROM l0
+  UNION SELECT root, dst, d + 1 FROM w JOIN a ON src = v WHERE d < (SELECT count(*) FROM l0)
+), dist AS (SELECT root, v, min(d) AS d FROM w GROUP BY 1, 2
+), sp AS (
+  SELECT vertex AS root, vertex AS v, 0 AS d, 1.0::DOUBLE AS sigma FROM l0
+  UNION ALL SELECT root, v, d, sigma FROM (
+    SELECT sp.root, a.dst AS v, sp.d + 1 AS d, sum(sp.sigma) AS sigma FROM sp JOIN a ON a.src = sp.v JOIN dist ON dist.root = sp.root AND dist.v = a.dst AND dist.d = sp.d + 1 GROUP BY 1, 2, 3)
+)
+SELECT least(x.src, x.dst) AS src, greatest(x.src, x.dst) AS dst, round(sum(s.sigma * t.sigma / st.sigma) / 2, 6) AS betweenness
+FROM a x JOIN sp s ON s.v = x.src JOIN sp t ON t.v = x.dst JOIN sp st ON st.root = s.root AND st.v = t.root AND st.d = s.d + 1 + t.d GROUP BY 1, 2""",
+    "bfr_points": f"SELECT DISTINCT point_id FROM cluster_points WHERE {_USABLE}",
+    "bfr_round_totals": f"""
+WITH p AS (SELECT count(DISTINCT point_id) AS n FROM cluster_points WHERE {_USABLE})
+SELECT i::INTEGER AS round, least(n, i * CAST(ceil(n / 5) AS BIGINT)) AS points FROM p, range(1, 6) AS t(i) WHERE (i - 1) * CAST(ceil(n / 5) AS BIGINT) < n""",
+    "label_counts": "SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{e}') AS n_{e}" for e in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1",
+    "photo_features": _RATINGS
+    + ", ph AS (SELECT trim(business_id, ' ') AS business_id, "
+    + ", ".join(f"count(*) FILTER (coalesce(compliment_count, 0) % 5 = {i}) AS photos_{p}" for i, p in enumerate(_PHOTOS))
+    + " FROM tip GROUP BY 1) SELECT user_id, business_id, "
+    + ", ".join(f"coalesce(photos_{p}, 0) AS photos_{p}" for p in _PHOTOS)
+    + " FROM m LEFT JOIN ph USING (business_id)",
+    "blend_check": _RATINGS
+    + _SUMS
+    + f""", b AS (SELECT item_1, item_2, similarity FROM w WHERE similarity > 0 UNION ALL SELECT item_2, item_1, similarity FROM w WHERE similarity > 0
+), g AS (
+  SELECT p.user_id, p.business_id, sum(similarity * o.stars) / sum(similarity) AS guess
+  FROM m p JOIN m o ON o.user_id = p.user_id JOIN b ON item_1 = p.business_id AND item_2 = o.business_id GROUP BY 1, 2)
+SELECT user_id, business_id, round(0.2 * coalesce(guess, {_FALLBACK}) + 0.8 * {_FALLBACK}, 6) AS prediction
+FROM m LEFT JOIN g USING (user_id, business_id) LEFT JOIN ia USING (business_id) LEFT JOIN ua USING (user_id)""",
+    "io_text_words": SQL["word_count"],
+    "io_json_users": "SELECT user_id, average_stars, fans FROM yelp_user",
+    "io_broken_lines": "SELECT 2::BIGINT AS n",
+    "io_csv_ratings": "SELECT user_id, business_id, stars FROM yelp_train WHERE user_id <> '' AND business_id <> ''",
+    "io_transactions": "SELECT ltrim(strftime(o_orderdate, '%Y-%m-%d'), '0') || '-' || o_custkey AS basket, l_partkey::VARCHAR AS item FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
+    "io_feature_points": f"SELECT point_id, 16 AS n, round(list_sum(features), 4) AS total FROM cluster_points WHERE {_USABLE}",
+    "io_drawn_stream": "SELECT 30::BIGINT AS batches, 3000::BIGINT AS seqs, 3000::BIGINT AS known",
+    "io_itemset_lines": "SELECT '(''' || replace(items, ',', ''', ''') || ''')' AS value FROM (" + _itemsets(_BASKETS, 60) + ")",
+    "io_community_lines": "SELECT '''' || array_to_string(list(vertex ORDER BY vertex), ''', ''') || '''' AS value FROM (" + SQL["components"] + ") GROUP BY component",
+    "io_edge_lines": _EDGES + " SELECT '(''' || src || ''', ''' || dst || '''),' || common || '.0' AS value FROM e",
+    "io_json_document": """
+SELECT (SELECT count(*) FROM yelp_train) AS n_review, (SELECT count(DISTINCT nullif(trim(user_id, ' '), '')) FROM yelp_train) AS n_user,
+  (SELECT string_agg(b || '=' || n, ';' ORDER BY n DESC, b) FROM (SELECT trim(business_id, ' ') AS b, count(*) AS n FROM yelp_train WHERE trim(business_id, ' ') <> '' GROUP BY 1 ORDER BY n DESC, b LIMIT 3)) AS top""",
+    "io_reservoir_rows": "SELECT seqnum, " + ", ".join(f"max(element) FILTER (slot = {s}) AS slot_{s}" for s in (0, 20, 40, 60, 80)) + " FROM (" + SQL["reservoir_snapshots"] + ") GROUP BY 1",
+    "io_clustering_report": f"SELECT least(5, ceil(n / ceil(n / 5)))::BIGINT AS rounds, n AS points FROM (SELECT count(DISTINCT point_id) AS n FROM cluster_points WHERE {_USABLE})",
+}

@@ -14,34 +14,56 @@ RATING = "user_id string, business_id string, stars double"
 PAIR = "user_id string, business_id string"
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value): one row per line."""
-    return spark.read.text(path)
+def text_lines(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """(value): one row per line; lines end with ``separator`` alone where it is given."""
+    return (spark.read if separator is None else spark.read.option("lineSep", separator)).text(path)
 
 
-def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """JSON lines with a declared schema; broken lines raise if ``strict``, else they are dropped. Columns are pruned at the scan."""
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+#: Column of the lines that don't fit the declared schema.
+BROKEN = "_broken"
 
 
-def csv_rows(spark: SparkSession, path: str, schema: str, drop_repeated_header: bool = True) -> DataFrame:
-    """Quoted CSV with a header; empty and malformed lines are dropped, and later lines equal to the header too if asked."""
-    names = [c.split()[0] for c in schema.split(",")]
-    rows = spark.read.schema(schema).option("header", True).option("quote", '"').option("mode", "DROPMALFORMED").option("enforceSchema", True).csv(path)
-    if not drop_repeated_header:
-        return rows
-    text = ", ".join(f"{n} string" for n in names)
-    head = spark.read.schema(text).option("quote", '"').csv(path).limit(1).collect()
-    if not head:
-        return rows
-    strings = [n for n, (_, t) in zip(names, rows.dtypes) if t == "string"]
-    same = [F.col(n).eqNullSafe(F.lit(head[0][n])) for n in strings]
-    if not same:
+def _kept(rows: DataFrame, broken: str) -> DataFrame:
+    if broken == "keep":
         return rows
-    every = same[0]
-    for s in same[1:]:
-        every = every & s
-    return rows.filter(~every)
+    return rows.filter(F.col(BROKEN).isNull()).drop(BROKEN)
+
+
+def json_lines(spark: SparkSession, path: str, schema: str, broken: str = "drop") -> DataFrame:
+    """JSON lines with a declared schema. Columns are pruned at the scan.
+
+    Broken lines raise (``broken="fail"``), are left out ("drop"), or stay as rows of nulls with their text in ``_broken``
+    ("keep"), where they can be counted and looked at.
+    """
+    if broken == "fail":
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    read = spark.read.schema(f"{schema}, {BROKEN} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN)
+    return _kept(read.json(path), broken)
+
+
+def csv_rows(spark: SparkSession, path: str, schema: str, drop_repeated_header: bool = True, broken: str = "drop") -> DataFrame:
+    """Quoted CSV with a header in each file; empty lines are dropped, and later lines equal to the header, the names of ``schema``, too if asked.
+
+    Lines that don't fit the schema are treated as in :func:`json_lines`. Spaces around values are kept.
+    """
+    names = [c.split()[0] for c in schema.split(",")]
+    read = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("enforceSchema", True)
+    if broken == "fail":
+        return read.schema(schema).option("mode", "FAILFAST").csv(path)
+    rows = read.schema(f"{schema}, {BROKEN} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).csv(path)
+    if drop_repeated_header:
+        header = ",".join(names)
+        again = F.coalesce(F.regexp_replace(BROKEN, '"', "") == header, F.lit(False))
+        strings = [n for n, (_, t) in zip(names, rows.dtypes) if t == "string"]
+        if len(strings) == len(names):
+            again = again | F.forall(F.array(*[F.col(n).eqNullSafe(F.lit(n)) for n in names]), lambda x: x)
+        rows = rows.filter(~again)
+    return _kept(rows, broken)
+
+
+def broken_lines(rows: DataFrame) -> DataFrame:
+    """One row ``n``: the broken lines of rows read with ``broken="keep"``."""
+    return rows.agg(F.count(BROKEN).alias("n"))
 
 
 def feature_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -56,7 +78,7 @@ def transactions(spark: SparkSession, path: str) -> DataFrame:
     """(basket, item) of quoted retail lines: basket is date-customer, item the sixth column, leading zeros off."""
     from graniva.operators.itemsets import clean_key
 
-    rows = spark.read.option("header", True).option("quote", '"').csv(path)
+    rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     c = rows.columns
     return rows.select(clean_key(F.col(f"`{c[0]}`"), F.col(f"`{c[1]}`")).alias("basket"), clean_key(F.col(f"`{c[5]}`")).alias("item"))
 

@@ -14,7 +14,8 @@ from graniva.operators import bfr, geo, graph, itemsets, minhash, nested, recomm
 from graniva.operators.components import connected_components
 from graniva.operators.paircount import shared_groups
 from graniva.plans import core_queries
-from graniva.plans.stage import running_total
+from graniva.plans import stage
+from graniva.plans.stage import fits, join_checked, materialize, pair_up, running_total, staged_size
 from graniva.sources import readers, sinks
 
 
@@ -42,6 +43,28 @@ def test_running_total(spark):
     assert running_total(df.limit(0), [F.col("a")], F.col("w"), "t").count() == 0
 
 
+@pytest.mark.parametrize("block", [2000, 3])
+def test_pair_up_splits_large_groups(spark, block):
+    rng = random.Random(1)
+    data = sorted({(g, m) for g in range(4) for m in rng.sample(range(40), 25 if g == 0 else 3)})
+    rows_ = materialize(spark.createDataFrame([(g, f"m{m}", m) for g, m in data], "g int, m string, w int"))
+    groups = {}
+    for g, m in data:
+        groups.setdefault(g, []).append((f"m{m}", m))
+    want = Counter((g, *sorted([a, b])[0], *sorted([a, b])[1]) for g, own in groups.items() for a, b in combinations(own, 2))
+    got = Counter((r.g, r.m1, r.w1, r.m2, r.w2) for r in pair_up(rows_, ["g"], "m", ["w"], block=block).collect())
+    assert got == want
+
+
+def test_broadcasts_go_by_measured_bytes(spark, monkeypatch):
+    long = materialize(spark.range(100).select("id", F.lit("x" * 10_000).alias("t")))
+    assert staged_size(long) == (100, 100 * (40 + 8 + 16 + 10_000))
+    assert not fits(long, 500_000) and fits(long.select("id"), 500_000) and fits(long.filter("id < 10"), 2_000_000)
+    assert staged_size(long.groupBy("id").count()) is None and fits(long.groupBy("id").count(), 10_000)
+    monkeypatch.setattr(stage, "BROADCAST_BYTES", 0)
+    assert "BroadcastHashJoin" not in join_checked(spark.range(5), long, "id")._jdf.queryExecution().sparkPlan().toString()
+
+
 # -- relational ------------------------------------------------------------------------------------
 
 
@@ -60,6 +83,20 @@ def test_years_partitions_and_ids(spark):
     assert rows(relational.partition_sizes(keys, 3, relational.first_code(F.col("k")))) == {(0, 2), (1, 2), (2, 1)}
     assert rows(relational.dense_ids(keys, "k")) == {("", 0), ("apple", 1), ("art", 2), ("bee", 3)}
     assert relational.timed(keys) > 0
+    assert sum(r.n for r in relational.partition_sizes(keys.repartition(3)).collect()) == 5 and relational.partition_sizes(keys.repartition(3)).count() == 3
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date"])
+def test_year_of_moments_is_a_range(spark, kind):
+    df = spark.createDataFrame([("2019-12-31 23:59:59",), ("2020-01-01 00:00:00",), ("2020-12-31 23:59:59",), ("2021-01-01 00:00:00",), (None,)], "t string").select(F.col("t").cast(kind))
+    test = relational.in_year(F.col("t"), 2020, kind)
+    assert df.filter(test).count() == 2 and "cast(t as string)" not in df.filter(test)._jdf.queryExecution().toString()
+
+
+def test_ranks_come_before_rounding(spark):
+    averages = spark.createDataFrame([("a", 1.0000001), ("b", 1.0000002), ("c", None), (None, 3.0)], "g string, v double")
+    for top in (relational.top_average, relational.top_average_on_driver):
+        assert [tuple(r) for r in top(averages.repartition(3), "g", "v", 3).collect()] == [(None, 3.0), ("b", 1.0), ("a", 1.0)]
 
 
 # -- sources and sinks -----------------------------------------------------------------------------
@@ -71,6 +108,12 @@ def test_sources_and_sinks(spark, tmp_path):
     assert got == {("u1", "b,1", 4.0), ("u3", "b3", 2.0)}
     (tmp_path / "r.json").write_text('{"user_id": "u", "business_id": "b", "extra": 1}\nbroken\n')
     assert rows(readers.json_lines(spark, str(tmp_path / "r.json"), readers.TIP)) == {("u", "b")}
+    kept = readers.json_lines(spark, str(tmp_path / "r.json"), readers.TIP, broken="keep").cache()
+    assert readers.broken_lines(kept).first()[0] == 1 and kept.count() == 2
+    lines = readers.csv_rows(spark, str(tmp_path / "r.csv"), readers.RATING, broken="keep").cache()
+    assert readers.broken_lines(lines).first()[0] == 1 and lines.count() == 3
+    with pytest.raises(Exception):
+        readers.csv_rows(spark, str(tmp_path / "r.csv"), readers.RATING, broken="fail").collect()
     (tmp_path / "p.csv").write_text("1,x,0.5,2\n\n2,y,bad,1\n")
     assert [tuple(r) for r in readers.feature_rows(spark, str(tmp_path / "p.csv")).orderBy("point_id").collect()] == [(1, [0.5, 2.0]), (2, None)]
     (tmp_path / "t.csv").write_text('"d","c","x","y","z","p"\n"1/1/2000","0012","q","q","q","0034"\n')
@@ -88,6 +131,11 @@ def test_sources_and_sinks(spark, tmp_path):
     assert "".join(p.read_text() for p in (tmp_path / "com").glob("*.txt")) == "'c'\n'a', 'b'\n"
     sinks.edge_scores(spark.createDataFrame([("a", "b", 1.0), ("a", "c", 2.0)], "src string, dst string, betweenness double"), str(tmp_path / "e"))
     assert "".join(p.read_text() for p in (tmp_path / "e").glob("*.txt")).split("\n")[0] == "('a', 'c'),2.0"
+    halves = spark.createDataFrame([("a", "b", 1.000125), ("a", "c", 1.000135)], "src string, dst string, betweenness double")
+    sinks.edge_scores(halves, str(tmp_path / "half"))  # half to even
+    assert "".join(p.read_text() for p in (tmp_path / "half").glob("*.txt")) == "('a', 'c'),1.00014\n('a', 'b'),1.00012\n"
+    with pytest.raises(ValueError):
+        sinks.json_document({"rows": spark.range(5)}, str(tmp_path / "o.json"), most=4)
     sinks.csv(sets.select("n"), str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 3
 
@@ -214,6 +262,8 @@ def test_graph_operators(spark):
     parts, q = graph.girvan_newman(edges)
     assert {r.vertex: r.community for r in parts.collect()} == {v: v2 for k in ("abcd", "wxyz") for v in k for v2 in k[0]}
     assert q == pytest.approx(graph.modularity(edges, parts, "community").first()[0])
+    far, q2 = graph.girvan_newman(edges, broadcast_edges=0)
+    assert rows(far) == rows(parts) and q2 == pytest.approx(q)
     assert rows(graph.cooccurrence_edges(spark.createDataFrame([("u", "1"), ("u", "2"), ("v", "1"), ("v", "2"), ("w", "2")], "vertex string, group string"), "vertex", "group", 2)) == {("u", "v", 2)}
     empty = edges.limit(0)
     assert graph.label_propagation(empty).count() == 0 and graph.edge_betweenness(empty).count() == 0 and graph.girvan_newman(empty)[0].count() == 0
@@ -282,6 +332,18 @@ def test_item_predictions(spark):
     assert (e.n, e.error_0, e.error_1, e.error_4) == (4, 2, 2, 0) and e.rmse == pytest.approx(0.75)
 
 
+def test_features_have_one_row_per_pair(spark):
+    pairs = spark.createDataFrame([("u", "b"), ("v", "c")], "user_id string, business_id string")
+    users = spark.createDataFrame([("u", 3.0, 1, 0, 0, 0, 0), ("u", 3.5, 1, 0, 0, 0, 0), ("u", None, 9, 9, 9, 9, 9)], "user_id string, average_stars double, review_count long, useful long, funny long, cool long, fans long")
+    fields = ", ".join(f"{f}: string" for f in [*recommend.FLAGS, "Alcohol", "RestaurantsPriceRange2", "WiFi", "Smoking", "NoiseLevel", "BusinessParking", "GoodForMeal"])
+    items = spark.createDataFrame([("b", 4.0, 10, None, float("nan"), 5.0), ("b", 4.0, 10, None, 7.0, 5.0), ("c", None, None, None, None, float("nan"))], f"business_id string, stars double, review_count long, attributes struct<{fields}>, latitude double, longitude double")
+    photos = spark.createDataFrame([("b", "food"), ("b", "food"), ("b", "menu"), ("b", "other"), ("b", None)], "business_id string, label string")
+    got = {r.user_id: r for r in recommend.features(pairs, pairs, users, items, pairs, photos).collect()}
+    assert got["u"].average_stars == 3.5 and (got["u"].latitude, got["u"].longitude) == (7.0, 5.0) and (got["v"].latitude, got["v"].longitude) == (-1.0, -1.0)
+    assert (got["u"].photos_food, got["u"].photos_menu, got["u"].photos_drink, got["v"].photos_food) == (2, 1, 0, 0) and len(got) == 2
+    assert len(recommend.SMALL_VECTOR) == 6 and set(recommend.VECTOR) <= set(recommend.features(pairs, pairs, users, items, pairs).columns)
+
+
 def test_boosted_trees_beat_the_mean(spark):
     rng = random.Random(0)
     data = [(str(i), "b", float(i % 5), rng.random(), 1.0 + (i % 5) * 0.8 + rng.random() * 0.1) for i in range(300)]
@@ -299,9 +361,9 @@ def test_registered_model_is_the_whole_one(spark, monkeypatch):
         return args[1].withColumn("prediction", F.lit(3.0))
 
     monkeypatch.setattr(recommend, "gbt_predictions", model)
-    for name in ("gbt_prediction", "hybrid_prediction"):
+    for name in ("gbt_prediction", "hybrid_prediction", "gbt_small_prediction", "hybrid_small_prediction"):
         core_queries.queries()[name](spark, "/root/testdata/sf0.001")
-    assert asked == [(90, 7, 0.1)] * 2
+    assert asked == [(90, 7, 0.1)] * 4
 
 
 # -- clustering ------------------------------------------------------------------------------------

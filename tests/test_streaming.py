@@ -34,6 +34,17 @@ def test_sketch_streams(spark, tmp_path):
     assert {(r.slot, r.element) for r in reservoir.slots.table.collect()} == last
 
 
+def test_state_survives_the_driver(spark, tmp_path):
+    first = spark.createDataFrame([("a",), ("b",)], "user string")
+    one = BloomStream(spark, "user", folder=str(tmp_path / "state"))
+    one(first, 0)
+    (tmp_path / "state" / "1" / "rates").mkdir(parents=True)  # a batch that failed before its marker was written
+    again = BloomStream(spark, "user", folder=str(tmp_path / "state"))
+    again(first, 0)  # delivered again to the new driver
+    again(spark.createDataFrame([("a",), ("z",)], "user string"), 1)
+    assert sorted(tuple(r) for r in again.rates.table.collect()) == [(0, 0, 2), (1, 1, 2)]
+
+
 def test_windowed_counts(spark, tmp_path):
     stream = parts(spark, str(tmp_path / "in"))
     query = windowed_counts(stream, "ts", "user").writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
