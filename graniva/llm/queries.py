@@ -42,6 +42,12 @@ def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     return cooccurring_items(table(spark, d, "yelp_train"), min_count=1)
 
 
+def p2_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The counts and lift of p2_pairs, which SQL can follow."""
+    pairs = p2_pairs(spark, d)
+    return pairs.select("item_1", "item_2", "n12", "n1", "n2", F.round("lift", 6).alias("lift"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     found = similar_sets(table(spark, d, "yelp_train"), "business_id", "user_id", 0.5, 5)
     return found.pairs().selectExpr("set_id_1 AS business_id_1", "set_id_2 AS business_id_2")

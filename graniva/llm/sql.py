@@ -37,3 +37,21 @@ WHERE n1.n >= 5 AND n2.n >= 5 AND 2 * k >= n1.n + n2.n - k""",
     "p6_found": _TIP + "SELECT field_name, value FROM c",
     "p6_frequent": _TIP + "SELECT field_name, value, n FROM c",
 }
+
+SQL["p2_counts"] = (
+    _RATED
+    + """
+p AS (SELECT x.b AS b1, y.b AS b2, count(*) AS n12 FROM r x JOIN r y ON x.u = y.u AND x.b < y.b GROUP BY 1, 2)
+SELECT b1 AS item_1, b2 AS item_2, n12, n1.n AS n1, n2.n AS n2, round((SELECT count(DISTINCT u) FROM r)::DOUBLE * n12 / (n1.n::DOUBLE * n2.n), 6) AS lift
+FROM p JOIN n n1 ON n1.b = b1 JOIN n n2 ON n2.b = b2"""
+)
+SQL["p3_classes"] = (
+    _RATED
+    + """
+s AS (SELECT b, list(u ORDER BY u) AS us, count(*) AS n FROM r GROUP BY b HAVING count(*) >= 5
+), c AS (SELECT us, min(b) AS class_id, any_value(n) AS n FROM s GROUP BY us
+), l AS (
+  SELECT x.class_id AS a, y.class_id AS z FROM c x JOIN r rx ON rx.b = x.class_id JOIN r ry ON ry.u = rx.u JOIN c y ON y.class_id = ry.b AND y.class_id <> x.class_id
+  GROUP BY 1, 2, x.n, y.n HAVING 2 * count(*) >= x.n + y.n - count(*))
+SELECT b AS business_id, class_id, s.n AS n_users, (SELECT count(*) FROM l WHERE a = class_id) AS n_links FROM s JOIN c USING (us)"""
+)
