@@ -128,33 +128,44 @@ def _near_places(places: DataFrame, metres: float, radius: float, block: int | N
     discs = discs.withColumn("step", F.explode(F.sequence(first, last)))
     discs = discs.withColumn("cell", F.pmod(F.col("step"), F.col("n").cast("bigint")).cast("int"))
 
-    # how far the corners of a cell and of its quarters are: all corners within reach, with room for the bulge of the sides, is interior
+    # haversines of the corners of the quarters: three latitudes and three longitudes, nine corners. A quarter is interior when all its
+    # corners are within reach, with room for the bulge of the sides; it is out when even its nearest edges are too far
     safe = metres * (1 - 1e-6) - metres * metres / radius
-    calm = (F.greatest(F.abs(F.col("band") * h - 90), F.abs((F.col("band") + 1) * h - 90)) < 80) & F.lit(metres < radius / 100)
-
-    def corners(i0: float, i1: float, j0: float, j1: float) -> Column:
-        ds = [great_circle(lat, lon, (F.col("band") + i) * h - 90, (F.col("step") + j) / F.col("n") * 360 - 180, radius) for i in (i0, i1) for j in (j0, j1)]
-        return calm & (F.greatest(*ds) <= safe)
-
-    quarters = [corners(i / 2, (i + 1) / 2, j / 2, (j + 1) / 2) for i in (0, 1) for j in (0, 1)]
-    discs = discs.withColumn("full", corners(0, 1, 0, 1))
-    quarter = [F.struct(F.lit(i).alias("part"), q.alias("sure")) for i, q in enumerate(quarters)]
-    parts = F.when(F.col("full"), F.array(F.struct(F.lit(_WHOLE).alias("part"), F.lit(True).alias("sure")))).otherwise(F.array(*quarter))
-    cover = discs.select(F.col("place").alias("p"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "band", "cell", parts.alias("parts"))
+    inner, outer = (math.sin(max(m, 0.0) / radius / 2) ** 2 for m in (safe, metres * (1 + 1e-9)))
+    calm = (F.greatest(F.abs(F.col("band") * h - 90), F.abs((F.col("band") + 1) * h - 90)) < 80) & F.lit(metres < radius / 100 and safe > 0)
+    rows, cols = [(F.col("band") + i / 2) * h - 90 for i in range(3)], [(F.col("step") + j / 2) / F.col("n") * 360 - 180 for j in range(3)]
+    half = lambda x: F.pow(F.sin(F.radians(x) / 2), 2)
+    discs = discs.withColumns({"calm": calm, "own": F.cos(F.radians(lat))})
+    discs = discs.withColumns({f"y{i}": half(rows[i] - lat) for i in range(3)} | {f"c{i}": F.col("own") * F.cos(F.radians(rows[i])) for i in range(3)} | {f"x{j}": half(cols[j] - lon) for j in range(3)})
+    y, c, x = ([F.col(f"{k}{i}") for i in range(3)] for k in "ycx")
+
+    def within(low: int, high: int, left: int, right: int) -> Column:
+        return F.col("calm") & (F.greatest(*[y[i] + c[i] * x[j] for i in (low, high) for j in (left, right)]) <= inner)
+
+    def out(i: int, j: int) -> Column:
+        dy = F.when((lat >= rows[i]) & (lat <= rows[i + 1]), 0.0).otherwise(F.least(y[i], y[i + 1]))
+        dx = F.when((lon >= cols[j]) & (lon <= cols[j + 1]), 0.0).otherwise(F.least(x[j], x[j + 1]))
+        return F.col("calm") & (dy + F.least(c[i], c[i + 1]) * dx > outer)
+
+    kinds = [F.when(within(i, i + 1, j, j + 1), 1).when(out(i, j), 0).otherwise(2) for i in (0, 1) for j in (0, 1)]
+    discs = discs.withColumn("kinds", F.when(within(0, 2, 0, 2), F.array(*[F.lit(3)] * 4)).otherwise(F.array(*kinds)))
+    cover = discs.select(F.col("place").alias("p"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "band", "cell", "kinds")
     if is_empty(crowded):
         cover = cover.withColumn("block", F.lit(0))
     else:
         cover = join_checked(cover, crowded, ["band", "cell"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
-    cover = cover.select("p", "lat1", "lon1", "band", "cell", "block", F.explode("parts").alias("x")).select("p", "lat1", "lon1", "band", "cell", "block", "x.*")
+    spots_of = lambda kind: F.filter(F.transform("kinds", lambda k, i: F.when(k == kind, i.cast("int"))), lambda k: k.isNotNull())
+    whole = F.when(F.col("kinds")[0] == 3, F.array(F.lit(_WHOLE))).otherwise(spots_of(1))
 
     # interior cells: the equi-join alone decides, coordinates don't travel
     on = ["band", "cell", "block", "part"]
     spots = inside.select("place", "band", "cell", "block", F.explode(F.array("quarter", F.lit(_WHOLE))).alias("part"))
     # the planner's estimates don't know how many cells a disc has, so it must not pick a broadcast
-    sure = cover.filter("sure").select("p", *on).hint("merge").join(spots.hint("merge"), on).filter("p < place").select("p", F.col("place").alias("q"))
+    sure = cover.select("p", "band", "cell", "block", F.explode(whole).alias("part")).hint("merge").join(spots.hint("merge"), on).filter("p < place").select("p", F.col("place").alias("q"))
     # border cells: the exact distance of each pair
     exact = great_circle(F.col("lat1"), F.col("lon1"), lat, lon, radius) <= metres
-    border = cover.filter("not sure").drop("sure").hint("merge").join(inside.withColumnRenamed("quarter", "part").hint("merge"), on)
+    edge = cover.select("p", "lat1", "lon1", "band", "cell", "block", F.explode(spots_of(2)).alias("part"))
+    border = edge.hint("merge").join(inside.withColumnRenamed("quarter", "part").hint("merge"), on)
     pairs = sure.union(border.filter("p < place").filter(exact).select("p", F.col("place").alias("q")))
     return materialize(pairs, "near")
 

@@ -307,7 +307,7 @@ FROM m LEFT JOIN g USING (user_id, business_id) LEFT JOIN ia USING (business_id)
     "io_json_users": "SELECT user_id, average_stars, fans FROM yelp_user",
     "io_broken_lines": "SELECT 2::BIGINT AS n",
     "io_csv_ratings": "SELECT user_id, business_id, stars FROM yelp_train WHERE user_id <> '' AND business_id <> ''",
-    "io_transactions": "SELECT ltrim(strftime(o_orderdate, '%Y-%m-%d'), '0') || '-' || o_custkey AS basket, l_partkey::VARCHAR AS item FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
+    "io_transactions": "SELECT ltrim(strftime(o_orderdate, '%Y-%m-%d'), '0') || '-' || ltrim(o_custkey::VARCHAR, '0') AS basket, ltrim(l_partkey::VARCHAR, '0') AS item FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
     "io_feature_points": f"SELECT point_id, 16 AS n, round(list_sum(features), 4) AS total FROM cluster_points WHERE {_USABLE}",
     "io_drawn_stream": "SELECT 30::BIGINT AS batches, 3000::BIGINT AS seqs, 3000::BIGINT AS known",
     "io_itemset_lines": "SELECT '(''' || replace(items, ',', ''', ''') || ''')' AS value FROM (" + _itemsets(_BASKETS, 60) + ")",
