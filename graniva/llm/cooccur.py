@@ -166,10 +166,9 @@ def cooccurring_items(df: DataFrame, basket: str = "user_id", item: str = "busin
     items = items if min_count == 1 else materialize(items, "frequent")
     pairs = pair_counts(rows, items, sizes.filter(F.col("size") > min(giant, PAIR_BLOCK)), min_count, giant)
     for i in (1, 2):
-        pairs = join_checked(pairs, items.select(F.col("id").alias(f"id{i}"), F.col("name").alias(f"name{i}"), F.col("n").alias(f"m{i}")), f"id{i}")
-    swap = F.col("name1") > F.col("name2")
-    pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
-    pairs = materialize(pairs.select(pick("name1", "name2").alias("item_1"), pick("name2", "name1").alias("item_2"), "n12", pick("m1", "m2").alias("n1"), pick("m2", "m1").alias("n2")), "pairs")
+        pairs = join_checked(pairs, items.select(F.col("id").alias(f"id{i}"), F.col("n").alias(f"n{i}")), f"id{i}")
+    # numbers instead of names until the end: names would be most of what is staged and moved
+    pairs = materialize(pairs.select("id1", "id2", "n12", "n1", "n2"), "pairs")
     lo, hi = F.least("n1", "n2"), F.greatest("n1", "n2")
     kinds = pairs.groupBy(lo.alias("n1"), hi.alias("n2"), "n12").agg(F.count("*").alias("pairs"))
     schema = "n1 long, n2 long, n12 long, pairs long, expected double, log_p double"
@@ -186,10 +185,14 @@ def cooccurring_items(df: DataFrame, basket: str = "user_id", item: str = "busin
     ties = materialize(ties.withColumn("log_q", F.least(F.col("log_p") + F.lit(math.log10(tests)) - F.log10("rank"), F.lit(0.0))), "ranks")
     cut = ties.filter(F.col("log_q") <= math.log10(alpha)).agg(F.max("log_p")).first()[0]
     scored = join_checked(ranked.select("n1", "n2", "n12", "expected", "log_p"), ties.select("log_p", "log_q"), "log_p")
-    k = scored.select(F.col("n1").alias("lo"), F.col("n2").alias("hi"), "n12", "expected", "log_p", "log_q")
-    out = pairs.withColumn("lo", lo).withColumn("hi", hi).join(k, ["lo", "hi", "n12"])
+    kinds = materialize(scored.select(F.col("n1").alias("lo"), F.col("n2").alias("hi"), "n12", "expected", "log_p", "log_q"), "kinds")
+    out = join_checked(pairs.withColumn("lo", lo).withColumn("hi", hi), kinds, ["lo", "hi", "n12"])
+    for i in (1, 2):
+        out = join_checked(out, items.select(F.col("id").alias(f"id{i}"), F.col("name").alias(f"name{i}")), f"id{i}")
+    swap = F.col("name1") > F.col("name2")
+    pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
     return out.select(
-        "item_1", "item_2", "n12", "n1", "n2",
+        pick("name1", "name2").alias("item_1"), pick("name2", "name1").alias("item_2"), "n12", pick("n1", "n2").alias("n1"), pick("n2", "n1").alias("n2"),
         (F.lit(float(n_baskets)) * F.col("n12") / (F.col("n1").cast("double") * F.col("n2"))).alias("lift"),
         "expected", F.col("log_p").alias("log10_p"), F.col("log_q").alias("log10_q"),
         (F.col("log_p") <= F.lit(cut if cut is not None else -math.inf)).alias("significant"),
