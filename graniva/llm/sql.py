@@ -55,3 +55,14 @@ s AS (SELECT b, list(u ORDER BY u) AS us, count(*) AS n FROM r GROUP BY b HAVING
   GROUP BY 1, 2, x.n, y.n HAVING 2 * count(*) >= x.n + y.n - count(*))
 SELECT b AS business_id, class_id, s.n AS n_users, (SELECT count(*) FROM l WHERE a = class_id) AS n_links FROM s JOIN c USING (us)"""
 )
+
+# only labels smaller than the point go on, as the smallest point of a group reaches all others through larger ones
+SQL["p1_found"] = """
+WITH RECURSIVE p AS (
+  SELECT point_id, min(features) AS f FROM cluster_points
+  WHERE point_id IS NOT NULL AND features IS NOT NULL AND len(features) = 16 AND len(list_filter(features, lambda v: v IS NULL OR NOT isfinite(v))) = 0 GROUP BY 1
+), h AS (SELECT a.point_id AS s, b.point_id AS t FROM p a JOIN p b ON a.point_id < b.point_id AND list_distance(a.f, b.f) <= 12.0
+), e AS (SELECT s, t FROM h UNION ALL SELECT t, s FROM h
+), c AS (SELECT point_id AS v, point_id AS r FROM p UNION SELECT e.t, c.r FROM c JOIN e ON e.s = c.v WHERE c.r < e.t
+), g AS (SELECT v AS point_id, min(r) AS cluster_id FROM c GROUP BY 1)
+SELECT cluster_id, point_id FROM g WHERE cluster_id IN (SELECT cluster_id FROM g GROUP BY 1 HAVING count(*) >= 5)"""
