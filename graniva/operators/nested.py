@@ -13,34 +13,33 @@ from pyspark.sql import types as T
 from graniva.plans.stage import materialize, materialize_all
 
 _LEAF = "array<struct<name:string,value:string>>"
-#: Default number of scalar fields above which an object's scalars count as optional: its variant then tells its nested fields alone.
-MOST_SCALARS = 6
 
 
 def _scalar(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.StructType, T.ArrayType))
 
 
-def _state(col: Column, kind: T.DataType, depth: int = 1, most_scalars: int = MOST_SCALARS) -> Column:
-    """State that the bottom-up tree automaton gives to a value; empty for a null.
+def _state(col: Column, kind: T.DataType, depth: int | None = None, most_scalars: int | None = None) -> Column:
+    """State that the bottom-up tree automaton gives to a value; null for a null.
 
-    The states of the elements of an array enter its state, and so the state of the object around it, ``depth`` levels up;
-    beyond them an object counts as such alone, which keeps the number of states small.
+    The states of the elements of an array enter its state, and so the state of the object around it, ``depth`` levels up, or at
+    every level without a ``depth``; beyond it an object counts as such alone.
     """
     if isinstance(kind, T.StructType):
-        wide = sum(_scalar(f.dataType) for f in kind.fields) > most_scalars
+        wide = most_scalars is not None and sum(_scalar(f.dataType) for f in kind.fields) > most_scalars
         parts = [(f.name, _state(col[f.name], f.dataType, depth, most_scalars)) for f in kind.fields if not (wide and _scalar(f.dataType))]
-        named = [F.when(s != "", F.concat(F.lit(n), s)) for n, s in parts]
-        return F.when(col.isNull(), "").otherwise(F.concat(F.lit("{"), F.concat_ws(",", *named) if named else F.lit(""), F.lit("}")))
+        named = [F.concat(F.lit(n), s) for n, s in parts]
+        return F.when(col.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *named) if named else F.lit(""), F.lit("}")))
     if isinstance(kind, T.ArrayType):
+        below = None if depth is None else depth - 1
 
         def one(x: Column) -> Column:
-            deep = F.lit("{}") if isinstance(kind.elementType, T.StructType) and depth < 1 else _state(x, kind.elementType, depth - 1, most_scalars)
-            return F.when(x.isNull(), "0").otherwise(deep)
+            cut = isinstance(kind.elementType, T.StructType) and depth is not None and depth < 1
+            return F.coalesce(F.when(x.isNotNull(), "{}") if cut else _state(x, kind.elementType, below, most_scalars), F.lit("0"))
 
         states = F.array_sort(F.array_distinct(F.transform(col, one)))
-        return F.when(col.isNull(), "").otherwise(F.concat(F.lit("["), F.array_join(states, "|"), F.lit("]")))
-    return F.when(col.isNull(), "").otherwise("'")
+        return F.concat(F.lit("["), F.array_join(states, "|"), F.lit("]"))
+    return F.when(col.isNotNull(), "'")
 
 
 def _below(path: Column, name: str) -> Column:
@@ -78,7 +77,7 @@ def _read(text: str | None):
     return value if isinstance(value, dict) else None
 
 
-def _text_nodes(name: str):
+def _text_nodes(name: str, whole: bool):
     def walk(value, path, parent, pos, out):
         flags, texts, children = [], [], []
         for i, (k, v) in enumerate(value.items()):
@@ -92,19 +91,25 @@ def _text_nodes(name: str):
                     flags.append({"name": k, "value": v})
                 elif v is not None:
                     texts.append({"name": k, "value": str(v)})
-        names = sorted([x["name"] + "?" for x in flags] + [x["name"] + "'" for x in texts] + [k + "{}" for k, *_ in children])
-        out.append({"path": path, "parent": parent, "pos": pos, "variant": "{" + ",".join(names) + "}", "flags": flags, "texts": texts})
+        node = {"path": path, "parent": parent, "pos": pos, "flags": flags, "texts": texts}
+        out.append(node)
+        states = []
         for k, v, i in children:
-            walk(v, f"{path}.{k}", path, i, out)
-        return out
+            state = walk(v, f"{path}.{k}", path, i, out)
+            states.append(k + (state if whole else "{}"))
+        names = sorted([x["name"] + "?" for x in flags] + [x["name"] + "'" for x in texts] + states)
+        node["variant"] = "{" + ",".join(names) + "}"
+        return node["variant"]
 
     @F.pandas_udf(_TEXT_NODE)
     def nodes(texts: pd.Series) -> pd.Series:
         seen: dict = {}
         for t in texts.unique():
             value = _read(t)
+            seen[t] = []
             try:
-                seen[t] = [] if value is None else walk(value, name, "", 0, [])
+                if value is not None:
+                    walk(value, name, "", 0, seen[t])
             except RecursionError:
                 seen[t] = []
         return texts.map(lambda t: seen[t])
@@ -112,15 +117,15 @@ def _text_nodes(name: str):
     return nodes
 
 
-def subtype_tables(df: DataFrame, key: str, column: str, text_dicts: tuple[str, ...] = (), *, depth: int = 1, most_scalars: int = MOST_SCALARS, routed: bool = True) -> dict[str, DataFrame]:
+def subtype_tables(df: DataFrame, key: str, column: str, text_dicts: tuple[str, ...] = (), *, depth: int | None = 1, most_scalars: int | None = None, routed: bool = True) -> dict[str, DataFrame]:
     """One typed table for each kind of object inside ``column``: (key, path, parent, pos, variant, fields), by kind.
 
     A kind is a place of the schema without positions (``Menus.sections``; the root is ``root``). ``path`` names the object
     from the root (``Menus[0].sections[1]``, the root itself is empty), ``parent`` is the path of the object around it,
     ``pos`` its position in its array. ``variant`` is the state that a bottom-up tree automaton gives to the object: the
-    fields present, with the states of the elements in its arrays up to ``depth`` levels; scalars of
-    objects with more than ``most_scalars`` are optional and don't tell variants apart. ``fields`` has
-    the scalars and arrays of scalars of the object in their own types. Fields of the root in ``text_dicts`` hold dictionaries as
+    fields present, with the states of the elements in its arrays up to ``depth`` levels; None takes all levels, also
+    inside dictionaries in text form. With ``most_scalars``, scalars of objects with more of them are optional and don't tell variants
+    apart. ``fields`` has the scalars and arrays of scalars of the object in their own types. Fields of the root in ``text_dicts`` hold dictionaries as
     text; readable ones become objects of a kind of their own, with ``flags`` (true and false) and ``texts``; others give nothing.
 
     Variants are routed: the staged table of a kind has the rows of one variant together (``shape``), those of a frequent one in
@@ -149,7 +154,7 @@ def subtype_tables(df: DataFrame, key: str, column: str, text_dicts: tuple[str,
     root = rows.filter("obj IS NOT NULL").select(key, F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("pos"), "obj")
     visit(root, df.schema[column].dataType, "root")
     for name in text_dicts:
-        nodes = rows.select(key, F.explode(_text_nodes(name)(F.col("obj")[name])).alias("n"))
+        nodes = rows.select(key, F.explode(_text_nodes(name, depth is None)(F.col("obj")[name])).alias("n"))
         tables[name] = nodes.select(key, *[F.col(f"n.{c}").alias(c) for c in _COMMON], F.struct("n.flags", "n.texts").alias("fields"))
     return materialize_all({k: _routed(t) for k, t in tables.items()}, "subtype") if routed else tables
 

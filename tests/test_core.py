@@ -483,3 +483,35 @@ def test_variants_are_routed(spark, tmp_path):
     nested.write_variants(tables, str(tmp_path / "v"))
     back = spark.read.parquet(str(tmp_path / "v" / "M"))
     assert back.count() == 3 and back.select("shape").distinct().count() == 2 and back.select("fields.t").count() == 3
+
+
+def _whole_state(x):
+    if isinstance(x, dict):
+        return "{" + ",".join(k + _whole_state(v) for k, v in x.items() if v is not None) + "}"
+    return "[" + "|".join(sorted({"0" if v is None else _whole_state(v) for v in x})) + "]" if isinstance(x, list) else "'"
+
+
+def test_variants_tell_whole_structures_apart(spark, tmp_path):
+    scalars = [*(f"s{i}" for i in range(8)), "BusinessParking", "GoodForMeal"]
+    schema = f"business_id string, attributes struct<{','.join(s + ':string' for s in scalars)},Menus:array<struct<t:string,sections:array<struct<h:string,dishes:array<struct<d:string,tags:array<string>>>>>>>>"
+    menus = [
+        None, [], [None], [("t", None)], [(None, [("h", [("d", ["x"])])])], [(None, [("h", [("d", None)])])], [(None, [("h", [("d", [None])]), None])],
+        [(None, [("h", [(None, None), ("d", ["x", "y"])])])], [(None, [("h", None)]), (None, [("h", None)])], [("t", []), (None, [(None, [])])],
+    ]
+    texts = [None, "{'a': True, 'b': {'c': 1}}", "{'a': True, 'b': {'c': False}}", "{'a': True, 'b': {'c': {'d': 'x'}}}", "{'b': {}}"]
+    data = [(f"k{i}", (*[str(i) if i >> j & 1 else None for j in range(8)], texts[i % 5], None, menus[i % 10])) for i in range(120)] + [("null", None)]
+    df = spark.createDataFrame(data, schema)
+    df.write.parquet(str(tmp_path / "business.parquet"))
+    want = {}
+    for r in df.dropna(subset=["attributes"]).collect():
+        root = r.attributes.asDict(recursive=True)
+        places = {"root": [root], "Menus": [m for m in root["Menus"] or [] if m]}
+        for kind, field in (("Menus.sections", "sections"), ("Menus.sections.dishes", "dishes")):
+            places[kind] = [o for x in places[kind.rpartition(".")[0]] for o in x[field] or [] if o]
+        for kind, objects in places.items():
+            for state in map(_whole_state, objects):
+                want[kind, state] = want.get((kind, state), 0) + 1
+    got = {(r.kind, r.variant): r.n for r in core_queries.p5_variants(spark, str(tmp_path)).collect()}
+    assert {k: n for k, n in got.items() if k[0] != "BusinessParking"} == want and sum(k[0] == "root" for k in want) > 100
+    parking = {v: n for (kind, v), n in got.items() if kind == "BusinessParking"}
+    assert parking == {"{a?,b{c'}}": 24, "{a?,b{c?}}": 24, "{a?,b{c{d'}}}": 24, "{b{}}": 24, "{c'}": 24, "{c?}": 24, "{c{d'}}": 24, "{d'}": 24, "{}": 24}
