@@ -13,7 +13,7 @@ from graniva.llm.cooccur import cooccurring_items
 from graniva.llm.encode import decode_corpus, encode_corpus
 from graniva.llm.frequent import frequent_ids
 from graniva.llm.mixing import mix_sources
-from graniva.llm.repetition import flag_repetition, repetition_shares
+from graniva.llm.repetition import flag_repetition, repetition_bounds, repetition_shares
 from graniva.llm.setjoin import similar_sets
 from graniva.plans.tables import table
 
@@ -98,13 +98,15 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that reach the adaptive threshold of their language and source, then the fixed share of the definition.
+    """Documents whose share reaches the definition's, measured where its upper bound reaches the adaptive threshold of language and source.
 
-    The adaptive threshold has the definition's share as its ceiling, so it loses no document of the definition.
+    The definition's share is the ceiling of the threshold and no share exceeds its bound, so no document of the definition is lost;
+    the texts below the threshold are not measured.
     """
-    shares = repetition_shares(table(spark, d, "documents"), ["doc_id", "lang", "source"])
-    flagged = flag_repetition(shares, ["lang", "source"], floor=0.05, ceiling=0.30).filter("flagged")
-    return flagged.filter(F.col("word_share") >= 0.30).select("doc_id")
+    floor, share = 0.05, 0.30
+    bounds = repetition_bounds(table(spark, d, "documents"), ["doc_id", "lang", "source"], least=floor)
+    likely = flag_repetition(bounds, ["lang", "source"], measure="most_share", floor=floor, ceiling=share).filter("flagged")
+    return repetition_shares(likely, ["doc_id"]).filter(F.col("word_share") >= share).select("doc_id")
 
 
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:

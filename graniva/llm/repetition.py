@@ -33,6 +33,17 @@ def repeated_words(ids: np.ndarray, span: int) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
+def most_repeated_words(words: list[str], span: int) -> int:
+    """An upper bound of :func:`repeated_words` without their windows.
+
+    Every run of three words inside a repeated window began before. A stretch of repeated words is covered by windows that each
+    begin ``span - 2`` such runs, so it has at most ``span / (span - 2)`` words for each of them.
+    """
+    size = min(3, span)
+    again = len(words) + 1 - size - len(set(zip(*(words[i:] for i in range(size)))))
+    return min(len(words), again * span // (span + 1 - size)) if again > 0 else 0
+
+
 def _repeated_share(parts: list[str]) -> float:
     """Share of the characters of ``parts`` in parts that occurred before."""
     seen, again, total = set(), 0, 0
@@ -66,6 +77,36 @@ def _measure(span: int, kept: int, schema: list[str]):
     return run
 
 
+def _bound(span: int, kept: int, least: float, schema: list[str]):
+    def run(batches):
+        import regex
+
+        word = regex.compile(_WORD, regex.V1)
+        for batch in batches:
+            texts, n_words, shares = [], [], []
+            for text in batch.column(kept).to_pylist():
+                words = word.findall((text or "").lower())
+                share = most_repeated_words(words, span) / len(words) if words else 0.0
+                texts.append(text if share >= least else None)
+                n_words.append(len(words))
+                shares.append(share)
+            new = [pa.array(texts, batch.column(kept).type), pa.array(n_words, pa.int64()), pa.array(shares, pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(kept)] + new, names=schema)
+
+    return run
+
+
+def repetition_bounds(docs: DataFrame, keep: list[str], text: str = "text", span: int = 8, least: float = 0.0) -> DataFrame:
+    """Columns ``keep``, ``text``, ``n_words`` and ``most_share``, which ``word_share`` of :func:`repetition_shares` never exceeds.
+
+    A fast first look at all texts, for which to measure: ``text`` is null where ``most_share`` is below ``least``.
+    One row for every row; null, empty and wordless texts have a share of 0.
+    """
+    base = docs.select(*keep, F.col(text).alias("text"))
+    schema = T.StructType([*base.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("most_share", T.DoubleType())])
+    return base.mapInArrow(_bound(span, len(keep), least, schema.names), schema)
+
+
 def repetition_shares(docs: DataFrame, keep: list[str], text: str = "text", span: int = 8) -> DataFrame:
     """Columns ``keep``, ``n_words``, ``repeated_words`` and the repeated shares of words, sentences and paragraphs of each text.
 

@@ -12,7 +12,7 @@ from graniva.llm import queries as llm_queries
 from graniva.llm.canonical import Matcher, map_cities, map_to_reference
 from graniva.llm.encode import TOKENIZER, decode_corpus, encode_corpus, token_counts
 from graniva.llm.mixing import mix_sources, plan_quotas, split_blocks
-from graniva.llm.repetition import flag_repetition, repetition_shares
+from graniva.llm.repetition import flag_repetition, most_repeated_words, repeated_words, repetition_shares
 
 needs_tokenizer = pytest.mark.skipif(not Path(TOKENIZER).exists(), reason="no vocabulary files")
 DOCS = "doc_id long, text string, lang string, source string, key string, word string, pos int"
@@ -100,6 +100,35 @@ def test_found_rows_come_through_the_sketch(spark, tmp_path, monkeypatch, sketch
     assert asked[0][0] == ["lang", "source"] and asked[0][1]["floor"] < asked[0][1]["ceiling"] <= 0.30
 
 
+def test_shares_never_exceed_their_bounds():
+    rng = np.random.default_rng(1)
+    for i in range(4000):
+        span, letters = int(rng.integers(1, 10)), int(rng.integers(1, 40))
+        ids = rng.integers(0, letters, int(rng.integers(0, 60)))
+        ids = np.concatenate([ids, ids[: int(rng.integers(0, 30))], ids[int(rng.integers(0, 30)) :]]) if i % 2 else ids
+        assert repeated_words(ids, span) <= most_repeated_words([str(x) for x in ids], span) <= len(ids)
+    assert most_repeated_words(list("abcdefgh" * 2), 8) == 8 and most_repeated_words(list("abcdefghijklmnop"), 8) == 0
+
+
+def test_only_documents_above_the_threshold_are_measured(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(2)
+    plain = [" ".join(f"w{x}" for x in rng.integers(0, 400, 40)) for _ in range(60)]
+    some = [" ".join([*(f"v{x}" for x in range(n)), *(f"v{x}" for x in range(n - 12, n))]) for n in (26, 28, 29, 60, 90)]
+    texts = [*plain, *some, *[f"{t} {t}" for t in plain[:5]], "a b c d e f g h " * 2, None, "", "a b c"]
+    source = ["s" if i % 3 else None for i in range(len(texts))]
+    docs(spark, texts, source).write.parquet(str(tmp_path / "documents.parquet"))
+    measured = []
+
+    def shares(df, *args, **kw):
+        measured.extend(r.doc_id for r in df.select("doc_id").collect())
+        return repetition_shares(df, *args, **kw)
+
+    monkeypatch.setattr(llm_queries, "repetition_shares", shares)
+    found = {r.doc_id for r in llm_queries.p10_found(spark, str(tmp_path)).collect()}
+    assert found == {i for i, t in enumerate(texts) if t and brute(t)[1] / brute(t)[0] >= 0.3} and len(found) > 6
+    assert found <= set(measured) and len(measured) == len(set(measured)) <= 15
+
+
 # -- mixing ----------------------------------------------------------------------------------------
 
 
