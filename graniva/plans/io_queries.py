@@ -88,7 +88,7 @@ def io_itemset_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def _small_graph(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "yelp_train")
-    rows = t.select(trimmed("user_id").alias("vertex"), trimmed("business_id").alias("group")).dropna().distinct()
+    rows = t.select(trimmed("user_id").alias("vertex"), trimmed("business_id").alias("group")).dropna()
     return materialize(graph.cooccurrence_edges(rows, "vertex", "group", 6), "edges")
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graniva.functions import hashing
-from graniva.operators import bfr, geo, graph, itemsets, minhash, nested, recommend, relational, sketches
+from graniva.operators import bfr, geo, graph, itemsets, minhash, nested, paircount, recommend, relational, sketches
 from graniva.operators.components import connected_components
 from graniva.operators.paircount import shared_groups
 from graniva.plans import core_queries
@@ -226,6 +226,18 @@ def test_shared_groups(spark, giant):
     assert rows(shared_groups(spark.createDataFrame(sorted(inc), "g string, m string"), "g", "m", 5, giant)) == want
 
 
+def test_large_groups_are_hardly_paired(spark, monkeypatch):
+    rng = random.Random(5)
+    inc = [(f"hot{g}", f"m{m}") for g in range(8) for m in range(120) if rng.random() < 0.8] + [(f"g{rng.randrange(60)}", f"m{m}") for m in range(120) for _ in range(2)]
+    groups, paired, pair_up = {}, [], paircount.pair_up
+    for g, m in inc:
+        groups.setdefault(m, set()).add(g)
+    monkeypatch.setattr(paircount, "pair_up", lambda *a, **k: paired.append(pair_up(*a, **k)) or paired[-1])
+    want = {(a, b, len(groups[a] & groups[b])) for a, b in combinations(sorted(groups), 2) if len(groups[a] & groups[b]) >= 7}
+    assert want and rows(paircount.shared_groups(spark.createDataFrame(inc + inc, "g string, m string"), "g", "m", 7)) == want
+    assert paired[0].count() < 3000  # all groups make 38,062 pairs, without the six largest 9,020
+
+
 # -- graphs ----------------------------------------------------------------------------------------
 
 
