@@ -281,6 +281,71 @@ def test_graph_operators(spark):
     assert graph.label_propagation(empty).count() == 0 and graph.edge_betweenness(empty).count() == 0 and graph.girvan_newman(empty)[0].count() == 0
 
 
+def _brute_betweenness(edges):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    depth, paths = {}, {}
+    for root in near:
+        d, n, queue = {root: 0}, Counter({root: 1}), [root]
+        for v in queue:
+            for w in near[v]:
+                if w not in d:
+                    d[w] = d[v] + 1
+                    queue.append(w)
+                if d[w] == d[v] + 1:
+                    n[w] += n[v]
+        depth[root], paths[root] = d, n
+    far = lambda s, t: depth[s].get(t, 10**9)
+    return {(a, b): sum(paths[s][x] * paths[t][y] / paths[s][t] for s, t in combinations(sorted(near), 2) if t in depth[s] for x, y in ((a, b), (b, a)) if far(s, x) + 1 + far(t, y) == far(s, t)) for a, b in edges}
+
+
+def _brute_communities(edges):
+    left, degree, best, answer = set(edges), Counter(v for e in edges for v in e), -1.0, None
+    while left:
+        parts = {v: v for v in degree}
+        for _ in degree:
+            for a, b in left:
+                parts[a] = parts[b] = min(parts[a], parts[b])
+        volume = Counter()
+        for v, n in degree.items():
+            volume[parts[v]] += n
+        q = sum(parts[a] == parts[b] for a, b in edges) / len(edges) - sum(n * n for n in volume.values()) / (2 * len(edges)) ** 2
+        if answer is None or (len(left) < len(edges) and q > best + 1e-12):
+            best, answer = q if answer is not None else -1.0, parts
+        scores = _brute_betweenness(sorted(left))
+        left = {e for e in left if scores[e] < max(scores.values()) - 1e-9}
+    return answer
+
+
+@pytest.mark.parametrize("steps", [0, 10**9])
+def test_communities_stop_when_none_can_be_better(spark, monkeypatch, steps):
+    rng = random.Random(6)
+    blocks = [[f"{k}{i:02}" for i in range(8)] for k in "abc"]
+    edges = {e for b in blocks for e in combinations(b, 2) if rng.random() < 0.7} | {(blocks[i][0], blocks[j][3]) for i, j in combinations(range(3), 2)}
+    edges = sorted(edges | {("a00", "t1"), ("t1", "t2"), ("t1", "t3"), ("x1", "x2")})
+    found = []
+    shares = graph._Part.shares
+    monkeypatch.setattr(graph._Part, "shares", lambda self, roots: found.append(self.n) or shares(self, roots))
+    monkeypatch.setattr(graph, "_DRIVER_STEPS", steps)
+    df = spark.createDataFrame(edges, "src string, dst string").coalesce(1)
+    assert {r.vertex: r.community for r in graph.girvan_newman(df)[0].collect()} == _brute_communities(edges)
+    if steps:
+        assert 0 < len(found) < 40  # until no edge is left there are more
+
+
+def test_betweenness_of_trees_rings_and_cliques(spark):
+    rng = random.Random(7)
+    ring = [(f"r{i:03}", f"r{(i + 1) % 260:03}") for i in range(260)]  # deeper than searches side by side go
+    thick = [(f"k{a}", f"k{b}") for a, b in combinations(range(9), 2)] + [("k0", "k90"), ("k90", "k91"), ("k91", "k92")]
+    thin = [(f"s{a:02}", f"s{b:02}") for a, b in combinations(range(60), 2) if rng.random() < 0.05]
+    edges = sorted({(min(e), max(e)) for e in [*ring, *thick, *thin, ("r000", "ra"), ("ra", "rb"), ("y0", "y1")]})
+    got = {(r.src, r.dst): r.betweenness for r in graph.edge_betweenness(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    want = {k: v for part in "rksy" for k, v in _brute_betweenness([e for e in edges if e[0][0] == part]).items()}
+    assert got == pytest.approx(want)
+
+
 # -- sketches --------------------------------------------------------------------------------------
 
 
