@@ -226,6 +226,25 @@ def test_shared_groups(spark, giant):
     assert rows(shared_groups(spark.createDataFrame(sorted(inc), "g string, m string"), "g", "m", 5, giant)) == want
 
 
+def test_items_without_a_frequent_pair_are_not_paired(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    rated = [(f"u{u}", f"b{b}") for u in range(150) for b in rng.sample(range(30), 8)] + [(f"v{v}", f"b{b}") for v in range(3) for b in range(9)]
+    spark.createDataFrame(rated, "user_id string, business_id string").write.parquet(str(tmp_path / "yelp_train.parquet"))
+    paired, pair_up = [], itemsets.pair_up
+    monkeypatch.setattr(itemsets, "pair_up", lambda *a, **k: paired.append(pair_up(*a, **k)) or paired[-1])
+    n = Counter(b for _, b in rated)
+    held = {}
+    for u, b in rated:
+        held.setdefault(u, set()).add(b)
+    assert min(n.values()) > 20
+    sets = [(u,) for u in held] + list(combinations(sorted(held), 2)) + [("v0", "v1", "v2")]
+    counts = {",".join(k): len(set.intersection(*[held[u] for u in k])) for k in sets}
+    want = {k: v for k, v in counts.items() if v >= 8}
+    assert want["v0,v1,v2"] == 9 and len(want) == 157  # no other two share eight
+    assert {r["items"]: r.n for r in core_queries.queries()["frequent_itemsets_filtered"](spark, str(tmp_path)).collect()} == want
+    assert paired[0].count() < 200  # all users of the 30 businesses make more than 20,000
+
+
 def test_large_groups_are_hardly_paired(spark, monkeypatch):
     rng = random.Random(5)
     inc = [(f"hot{g}", f"m{m}") for g in range(8) for m in range(120) if rng.random() < 0.8] + [(f"g{rng.randrange(60)}", f"m{m}") for m in range(120) for _ in range(2)]
